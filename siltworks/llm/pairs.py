@@ -157,7 +157,7 @@ def features(prompt: str, output: str, langs: Languages) -> tuple[np.ndarray, li
         ended = bool(_END.search(c.strip())) or kind != "text"
         dangling = last and kind == "text" and not ended and bool(words) and (c.rstrip().endswith((",", "，", "、", "-", "(")) or langs.is_common(words[-1].lower()) or (size > 2 and (t[-1:] in ("は", "の", "を", "に", "が", "で", "と", "和", "的", "在", "了", "着"))))
         declines = bool(_REFUSE.search(c)) and not _IDIOM.search(c)
-        rows.append((1.0, float(declines), float(bool(_COURTESY.search(c))), float(echo > 0.85), float(foreign), float(last), float(last and is_open), float(last and not ended and size > 4), float(dangling), float(kind == "item"), float(kind == "code"), float(size <= 4), float(i == 0), float(len(parts) == 1)))
+        rows.append((1.0, float(declines), float(bool(_COURTESY.search(c))), float(echo > 0.85), float(foreign), float(last), float(last and is_open), float(last and not ended and (size > 4 or size > 0 and i > 0 and parts[i - 1][1] == "text" and bool(_END.search(parts[i - 1][0].strip())))), float(dangling), float(kind == "item"), float(kind == "code"), float(size <= 4), float(i == 0), float(len(parts) == 1)))
         sizes.append(max(1, len(t)))
     return np.array(rows).reshape(-1, len(FEATURES)), sizes
 
