@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltworks.runtime import require, table
+from siltworks.runtime import require, spread, table
 
 TRAIN_DOCS = 6000
 KINDS = ("table", "list", "junk")
@@ -35,35 +35,38 @@ def _words(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000]+"), lambda w: F.length(w) > 0)
 
 
-def _bare(w: Column) -> Column:
-    return F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-
-
 def _count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
-def _line(line: Column, common: list[str], common_cjk: str) -> Column:
+#: What is cut from the ends of a word before it is looked up.
+_PUNCTUATION = ".,;:!?…\"'“”‘’«»()[]{}<>|/\\*_=#&~+-–—•◦·%$@^`。，、；：？！（）「」『』"
+
+
+def _prepare(line: Column) -> Column:
+    """What several features need, worked out once a line."""
     words = _words(line)
+    return F.struct(line.alias("t"), F.transform(words, lambda w: F.btrim(w, F.lit(_PUNCTUATION))).alias("w"), _count(line, _CJK).alias("cjk"), F.greatest(F.length(F.regexp_replace(line, r"\s", "")), F.lit(1)).alias("size"))
+
+
+def _line(x: Column, common: list[str], common_cjk: str) -> Column:
+    line, words, cjk, size = x["t"], x["w"], x["cjk"], x["size"]
     n = F.greatest(F.size(words), F.lit(1))
-    cjk = _count(line, _CJK)
-    size = F.greatest(F.length(F.regexp_replace(line, r"\s", "")), F.lit(1))
     is_cjk = cjk * 4 > size
-    letters = F.size(F.filter(words, lambda w: F.length(_bare(w)) > 0))
-    frac = F.when(is_cjk, _count(line, common_cjk) / F.greatest(cjk, F.lit(1))).otherwise(F.size(F.filter(words, lambda w: _bare(w).isin(common))) / n)
+    frac = F.when(is_cjk, _count(line, common_cjk) / F.greatest(cjk, F.lit(1))).otherwise(F.size(F.filter(words, lambda w: w.isin(common))) / n)
     return F.struct(
         F.length(F.trim(line)).alias("chars"), F.when(is_cjk, cjk / 2.0).otherwise(F.size(words).cast("double")).alias("words"), frac.alias("common"),
         _count(line, _SENT).alias("sents"), _count(line, r"[|│]").alias("pipes"), _count(line, r"\t").alias("tabs"), _count(line, ";").alias("semis"),
         _count(line, r",(?! )").alias("commas"), _count(F.trim(line), r"\S {2,}(?=\S)").alias("gaps"), _count(line, r"(?i)</?(?:table|t[rdh]|tbody|thead)\b").alias("tags"), line.rlike(_MARK).cast("int").alias("marker"),
-        (size / n).alias("awl"), (_count(line, r"[^\p{L}\p{N}\s]") / size).alias("symbols"), (_count(line, r"\d") / size).alias("digits"), is_cjk.cast("int").alias("cjk"), (letters / n).alias("cells"), (_count(line, "[\u0080-\u009f¢-¦¨©¬-¯±-¶¸¹¼-¾ÃÂâ€�]") / size).alias("odd"))
+        (size / n).alias("awl"), (_count(line, r"[^\p{L}\p{N}\s]") / size).alias("symbols"), (_count(line, r"\d") / size).alias("digits"), is_cjk.cast("int").alias("cjk"), (F.size(F.filter(words, lambda w: F.length(w) > 0)) / n).alias("cells"), (_count(line, "[\u0080-\u009f¢-¦¨©¬-¯±-¶¸¹¼-¾ÃÂâ€�]") / size).alias("odd"), words.alias("w"))
 
 
 def _blocks(text: Column, common: list[str], common_cjk: str) -> Column:
-    """An array of blocks, each with its lines' features and its own."""
+    """An array of blocks, each an array of its lines' features."""
     plain = F.regexp_replace(text, r"(?s)(?:^|\n)\s*```.*?(?:\n\s*```[^\n]*|$)", "\n\n")
-    blocks = F.split(F.regexp_replace(plain, _BREAK, "\n"), r"\n[\s ]*\n")
-    lines = lambda b: F.transform(F.filter(F.split(b, "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: _line(x, common, common_cjk))
-    return F.filter(F.transform(blocks, lambda b: F.struct(b.alias("text"), lines(b).alias("lines"))), lambda b: F.size(b["lines"]) > 0)
+    blocks = F.split(F.regexp_replace(plain, _BREAK, "\n"), r"\n[\s\u00a0\u3000]*\n")
+    lines = lambda b: F.transform(F.transform(F.filter(F.split(b, "\n"), lambda x: F.length(F.trim(x)) > 0), _prepare), lambda x: _line(x, common, common_cjk))
+    return F.filter(F.transform(blocks, lines), lambda b: F.size(b) > 0)
 
 
 def _total(lines: Column, f) -> Column:
@@ -72,20 +75,22 @@ def _total(lines: Column, f) -> Column:
 
 def line_features(df: DataFrame, common: list[str], common_cjk: str, text: str = "text") -> DataFrame:
     """df with `lines`: an array of structs of FEATURES and chars."""
+    mine = ("words", "common", "sents", "pipes", "tabs", "semis", "commas", "gaps", "tags", "marker", "awl", "symbols", "digits", "cjk", "cells", "odd", "chars")
 
-    def widen(b: Column) -> Column:
-        ls = b["lines"]
+    def whole(ls: Column) -> Column:
+        """A block's own features, worked out once a block."""
         n = F.size(ls)
-        words = _words(b["text"])
+        words = F.flatten(F.transform(ls, lambda x: x["w"]))
         chars = F.greatest(_total(ls, lambda x: x["chars"]), F.lit(1.0))
-        sep = _total(ls, lambda x: (F.greatest(x["pipes"], x["tabs"], x["semis"], x["commas"], x["gaps"], x["tags"]) > 0).cast("int")) / n
-        own = [
-            n.alias("b_lines"), (_total(ls, lambda x: x["words"]) / n).alias("b_wpl"), (_total(ls, lambda x: x["common"] * x["chars"]) / chars).alias("b_common"), (_total(ls, lambda x: x["sents"]) / n).alias("b_sents"),
-            (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("b_rep"), F.array_max(F.transform(ls, lambda x: x["words"])).alias("b_long"), sep.alias("b_sep")]
-        mine = ("words", "common", "sents", "pipes", "tabs", "semis", "commas", "gaps", "tags", "marker", "awl", "symbols", "digits", "cjk", "cells", "odd", "chars")
-        return F.transform(ls, lambda x: F.struct(*[x[c].cast("double").alias(c) for c in mine], *[c.cast("double").alias(k) for c, k in zip(own, FEATURES[-7:])]))
+        return F.struct(
+            ls.alias("ls"), n.alias("b_lines"), (_total(ls, lambda x: x["words"]) / n).alias("b_wpl"), (_total(ls, lambda x: x["common"] * x["chars"]) / chars).alias("b_common"), (_total(ls, lambda x: x["sents"]) / n).alias("b_sents"),
+            (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("b_rep"), F.array_max(F.transform(ls, lambda x: x["words"])).alias("b_long"),
+            (_total(ls, lambda x: (F.greatest(x["pipes"], x["tabs"], x["semis"], x["commas"], x["gaps"], x["tags"]) > 0).cast("int")) / n).alias("b_sep"))
+
+    def widen(b: Column) -> Column:
+        return F.transform(b["ls"], lambda x: F.struct(*[x[c].cast("double").alias(c) for c in mine], *[b[k].cast("double").alias(k) for k in FEATURES[-7:]]))
 
-    return df.withColumn("_b", _blocks(F.col(text), common, common_cjk)).withColumn("lines", F.flatten(F.transform("_b", widen))).drop("_b")
+    return df.withColumn("_b", _blocks(F.col(text), common, common_cjk)).withColumn("lines", F.flatten(F.transform(F.transform("_b", whole), widen))).drop("_b")
 
 
 # --- labelled documents
@@ -336,7 +341,7 @@ def classify(df: DataFrame, common: dict[str, list[str]], key: str = "doc_id", t
     """(key, n_chars, list_share, table_share, junk_share, kind) of each row; kind is null for prose and for texts under `least` characters."""
     require(df, key, text)
     case = rule_list(common)
-    base = line_features(df.select(key, F.col(text).alias("text")), *_vocabulary(common))
+    base = line_features(spread(df.select(key, F.col(text).alias("text"))), *_vocabulary(common))
     base = base.withColumn("_k", F.expr(f"transform(lines, x -> struct({case} AS kind, x.chars AS chars))"))
     # what isn't in a line of its own (fenced code) counts in the whole, not in a kind
     whole = F.greatest(_total(F.filter(F.split(F.regexp_replace("text", _BREAK, "\n"), "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.length(F.trim(x))), F.lit(1.0))
@@ -365,7 +370,7 @@ def statistics(df: DataFrame, common: dict[str, list[str]], key: str = "doc_id",
         nul(_count(F.col("_t"), r"[^\p{L}\p{N}\s]"), F.col("n_chars")).alias("symbol_ratio"),
         nul(_count(F.col("_t"), r"[0-9]"), F.col("n_chars")).alias("digit_ratio"),
         nul(F.size(F.filter("_l", lambda x: F.rtrim(x).rlike(r"[.!?。！？…][\"'”»)]*$"))), m).alias("punctuated_line_share"),
-        nul(F.size(F.filter("_w", lambda w: F.lower(w).isin(own))), n).alias("common_word_share"),
+        nul(F.size(F.filter("_w", lambda w: F.btrim(F.lower(w), F.lit(_PUNCTUATION)).isin(own))), n).alias("common_word_share"),
         nul(F.size(F.array_distinct("_w")), n).alias("distinct_word_share"),
         nul(F.size(F.filter("_l", lambda x: x.rlike(r"^\s*[-*•]\s"))), m).alias("bullet_line_share"))
 
