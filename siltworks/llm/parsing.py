@@ -148,7 +148,7 @@ def _tables(lang: str) -> Grammar:
     semi = lang in ("c", "java")
     follow: dict[str, set[str]] = {}
     follow["id"] = after | {"id", "{", "at", "fn"} | ({"kw"} if lang != "javascript" else {"kw"}) | ({"str"} if lang in ("go", "c") else set()) | ({"re"} if lang == "javascript" else set())
-    follow["num"] = after | ({"id"} if False else set())
+    follow["num"] = after
     follow["str"] = after | ({"str", "id"} if lang == "c" else set())
     follow["re"] = after
     follow[")"] = after | operand | {"kw", "kwc", "fn", "{", "pre", "at"}
@@ -166,22 +166,21 @@ def _tables(lang: str) -> Grammar:
     follow[":"] = starts | {";"}
     follow["arrow"] = starts - {"kwc"}
     follow["at"] = {"id", "kw"}
-    follow[";"] = starts | {";"} | ({"."} if False else set())
+    follow[";"] = starts | {";"}
     follow["^"] = starts | {";"} | ({".", ","} if lang in ("javascript", "c", "java") else {"."})
     follow["kw"] = starts | {";", ":", "sign", "="} | ({"op", ",", "."} if lang in ("go", "java", "c", "javascript") else set())
     follow["fn"] = {"id", "(", "sign", "{", "[", ",", "kw", "op"}
     follow["kwc"] = {"("} if lang != "go" else starts | {";"}
     if lang == "go":
-        follow["op"] |= {";"} if False else set()
-        follow["."] |= {"str"}
-        follow["str"] |= {"{"} if False else set()
+        follow["num"] |= {"{"}
+        follow["str"] |= {"{"}
     done = operand | {")", "]", "}", "inc", "kw"}
     block = dict.fromkeys(follow, "L")
     if semi:
         block = dict.fromkeys(follow, "B") | {"=": "I", ",": "I", "(": "I", "]": "I", "op": "I", ":": "B", "^": "B"}
     may_end = {"P": done | {";", "^"} | ({"sign"} if lang in ("c", "go") else set()) | ({","} if lang in ("go", "javascript") else set()) | ({"."} if lang in ("c", "go", "java", "javascript") else set()) | ({"op", "fn"} if lang in ("java", "go") else set()), "K": done | {"op", "^"} - {"op"} | ({","} if lang in ("go", "javascript") else set()) | ({"."} if lang == "go" else set()) | ({":"} if lang == "go" else set())}
     may_end["I"] = done | {","}
-    may_end["B"] = {";", "}", "^", ":"} | ({",", "id", ")"} if False else set())
+    may_end["B"] = {";", "}", "^", ":"}
     may_end["L"] = done | {",", ";", "^", ":", "fn"}
     may_end["F"] = {";", "}", "^"} | (done if lang in ("javascript", "go") else set()) | ({"id", ")", "str"} if lang == "c" else set())
     return bracket_grammar(follow, block, may_end)
@@ -259,6 +258,8 @@ def lex(text: str, lang: str) -> tuple[list[str], list[int]]:
             c = _PUNCT.get(s)
             if c is None:
                 c = "sign" if s in _SIGNS and not (s == "<" and lang != "go") and not (s == "^" and lang != "go") else "op"
+            if s == "*" and lang == "java" and out and out[-1] == ".":
+                c = "id"
             if s == "->" and lang == "c":
                 c = "."
             if s == "/" and lang == "javascript" and (not out or out[-1] not in _ENDS) and (g := _REGEX.match(text, start)):
@@ -274,8 +275,8 @@ def lex(text: str, lang: str) -> tuple[list[str], list[int]]:
             c = "bad"
         if newline:
             newline = False
-            if lines and out and (not depth or depth[-1] == "{" or lang == "go") and (out[-1] in _ENDS or out[-1] == "kw" and lang == "go" and words.get(text[at[-1] : at[-1] + 6]) == "kw" and False):
-                if lang == "go" and c not in (")", "]", "}", ".") and (not depth or depth[-1] != "(" or c in ("id", "num", "str", "kw")) and not (c in ("op", "=", ",", "sign", "{") and False):
+            if lines and out and (not depth or depth[-1] == "{" or lang == "go") and (out[-1] in _ENDS):
+                if lang == "go" and c not in (")", "]", "}", ".") and (not depth or depth[-1] != "(" or c in ("id", "num", "str", "kw")):
                     out.append(";")
                     at.append(start)
                 elif lang == "javascript" and c not in _GO_ON and c not in ("}", "inc"):
@@ -543,7 +544,6 @@ def _python_grammar() -> Grammar:
     starts = vals | {"un", "sign", "(", "[", "{", "block"}
     after = {"op", "sign", "bin", "tern", "=", ",", ".", "(", "[", ":", "un"}
     follow = {"id": after, "num": after - {"("}, "str": after | {"str"}, ")": after, "]": after, "}": after, "op": starts | {":"} - {":"}, "sign": starts | {",", ":"} - {":"}, "bin": starts, "tern": starts | {":", "tern"}, "=": starts, ",": starts | {"op", "tern", "="} - {"op", "="}, ".": {"id", "un", "tern", "bin", ".", "block"}, ":": starts | {"=", ",", ":"}, "un": starts | {".", "bin", ":", ",", "op", "="} - {"op", "="}, "block": starts | {":", "tern", ".", "="}, "^": starts | {".", "op", ":", "tern"}}
-    follow["."] |= {"num"} if False else set()
     ends = {"id", "num", "str", ")", "]", "}", ",", "un", ".", "tern", "sign"}
     rules: dict[object, dict[str, tuple]] = {}
     empty: set = set()
@@ -564,8 +564,6 @@ def _python_grammar() -> Grammar:
                 if last in ends | {":"} - {":"} or last == "^":
                     out["nl"] = ()
                     out[";"] = (("S", "^"),)
-                if last == ":":
-                    pass
             else:
                 if last == ":":
                     out = {"nl": ("suite",)} | {t: v for t, v in out.items()}
