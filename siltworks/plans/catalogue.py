@@ -1,21 +1,163 @@
-"""Every query of the core library with its SQL counterpart."""
+"""Every query of the core library with its SQL counterpart, which is written for DuckDB and shares only fixed values."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltworks.runtime import table
+from siltworks.functions.text import SPACE
+from siltworks.operators import code, relational
+from siltworks.operators.generation import model_task
+from siltworks.operators.refiners import CONTRACTIONS, EMOJI, EMOTICONS, refine
+from siltworks.operators.rule_filters import BLOCKED, BULLETS, ENTITIES, IDENTITY, SPECIAL, STOPWORDS, general_filter, keep, ngram_filter, ngram_score, word_number_filter
+from siltworks.runtime import spread, table
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text", "lang", "source", "ingested_at"))
+
+
+def _code(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "code_input"))
+
+
+def _quoted(words: tuple[str, ...] | list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+_T = "coalesce(text, '')"
+_W = f"list_filter(string_split_regex({_T}, '[{SPACE}]+'), lambda x: x <> '')"
+_LW = f"list_filter(string_split_regex(lower({_T}), '[{SPACE}]+'), lambda x: x <> '')"
+_STRIP = f"regexp_replace({_T}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+_LINES = f"list_filter(string_split({_T}, chr(10)), lambda x: regexp_replace(x, '[{SPACE}]+', '', 'g') <> '')"
+_N = lambda p: f"len(regexp_extract_all({_T}, '{p}'))"
+
+#: filter -> condition in SQL over documents.
+_FILTER_SQL = {
+    "content_null_filter": f"{_STRIP} <> ''",
+    "colon_end_filter": f"{_T} <> '' AND NOT ends_with({_T}, ':')",
+    "sentence_number_filter": rf"len(list_filter(string_split_regex({_T}, '[.!?\n]+'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}_]'))) BETWEEN 3 AND 7500",
+    "line_end_with_ellipsis_filter": f"len({_LINES}) > 0 AND len(list_filter({_LINES}, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[{SPACE}]*$'))) / len({_LINES}) < 0.3",
+    "symbol_word_ratio_filter": rf"{_N(r'#|\.\.\.|…')} / nullif(len(regexp_extract_all({_T}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACE}]+')), 0) < 0.4",
+    "alpha_words_filter": f"len({_W}) > 0 AND len(list_filter({_W}, lambda x: regexp_matches(x, '[a-zA-Z]'))) / len({_W}) > 0.6",
+    "html_entity_filter": f"text IS NOT NULL AND NOT regexp_matches(text, '[&＆]({'|'.join(ENTITIES)})')",
+    "id_card_filter": f"text IS NOT NULL AND {_N(IDENTITY)} < 3",
+    "no_punc_filter": f"text IS NOT NULL AND list_max(list_transform(string_split_regex(text, '[–.!?,;•/|…]'), lambda s: len(list_filter(string_split_regex(s, '[{SPACE}]+'), lambda x: x <> '')))) <= 112",
+    "special_character_filter": f"text IS NOT NULL AND NOT regexp_matches(text, '{SPECIAL.replace('{/U', chr(92) + '{/U').replace('U}', 'U' + chr(92) + '}').replace(chr(92) * 2, chr(92))}')",
+    "watermark_filter": "text IS NOT NULL AND NOT regexp_matches(text, 'Copyright|Watermark|Confidential')",
+    "mean_word_length_filter": f"len({_W}) > 0 AND round(len(array_to_string({_W}, '')) / len({_W}), 2) >= 3 AND round(len(array_to_string({_W}, '')) / len({_W}), 2) < 10",
+    "stop_word_filter": f"len({_LW}) > 0 AND len(list_filter({_LW}, lambda x: x IN ({_quoted(STOPWORDS)}))) > 2 AND len(list_filter({_LW}, lambda x: x IN ({_quoted(STOPWORDS)}))) / len({_LW}) > 0.2",
+    "curly_bracket_filter": f"{_T} <> '' AND {_N('[{}]')} / length({_T}) < 0.025",
+    "capital_words_filter": f"len({_W}) > 0 AND len(list_filter({_W}, lambda x: x = upper(x) AND x <> lower(x))) / len({_W}) <= 0.2",
+    "lorem_ipsum_filter": f"{_T} <> '' AND {_N('(?i)lorem ipsum')} / length({_T}) <= 3e-8",
+    "unique_words_filter": f"len({_LW}) > 0 AND len(list_distinct({_LW})) / len({_LW}) > 0.1",
+    "char_number_filter": f"length(replace(replace(replace({_STRIP}, ' ', ''), chr(10), ''), chr(9), '')) >= 100",
+    "line_start_with_bulletpoint_filter": f"len({_LINES}) > 0 AND len(list_filter({_LINES}, lambda x: regexp_matches(x, '^[{SPACE}]*[{BULLETS}]'))) / len({_LINES}) <= 0.9",
+    "line_with_javascript_filter": f"{_T} <> '' AND (len(string_split({_T}, chr(10))) <= 3 OR len(list_filter(string_split({_T}, chr(10)), lambda x: NOT contains(lower(x), 'javascript'))) >= 3)",
+    "blocklist_filter": f"text IS NOT NULL AND len(list_filter({_LW}, lambda x: x IN ({_quoted(BLOCKED)}))) <= 1",
+}
+
+
+def _nested_replace(pairs: list[tuple[str, str]]) -> str:
+    out = "text"
+    for a, b in pairs:
+        out = f"replace({out}, {_quoted([a])}, {_quoted([b])})"
+    return out
+
+
+#: refiner -> expression in SQL over documents.
+_REFINER_SQL = {
+    "lowercase_refiner": "lower(text)",
+    "html_entity_refiner": f"regexp_replace(text, '[&＆]({'|'.join(ENTITIES)})[;；]', '', 'g')",
+    "html_url_remover_refiner": f"regexp_replace(regexp_replace(text, 'https?://[^{SPACE}]+[\\r\\n]*', '', 'g'), '<[^\\n]*?>', '', 'g')",
+    "remove_emoji_refiner": f"regexp_replace(text, '{EMOJI}', '', 'g')",
+    "remove_emoticons_refiner": _nested_replace([(e, "") for e in EMOTICONS]),
+    "remove_extra_spaces_refiner": f"CASE WHEN text IS NOT NULL THEN array_to_string({_W}, ' ') END",
+    "remove_number_refiner": r"regexp_replace(text, '[\p{Nd}²³¹⁰⁴-⁹₀-₉]', '', 'g')",
+    "remove_punctuation_refiner": r"translate(text, '!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(39), '')".replace('\\"', '"'),
+    "remove_stopwords_refiner": f"CASE WHEN text IS NOT NULL THEN array_to_string(list_filter({_W}, lambda x: lower(x) NOT IN ({_quoted(STOPWORDS)})), ' ') END",
+    "remove_image_refs_refiner": None,
+    "reference_remover_refiner": r"regexp_replace(regexp_replace(text, '<ref\b[^>]*>[^<]*</ref>|<ref\b[^>]*>[^<]*$', '', 'g'), '\{\{cite\s+\w+\|[^}]*\}\}|\{\{cite\s+\w+\|[^}]*$', '', 'g')",
+    "remove_contractions_refiner": _nested_replace(list(CONTRACTIONS)),
+    "text_normalization_refiner": r"regexp_replace(regexp_replace(text, '(\d{1,2})[/.](\d{1,2})[/.](\d{4})', '\3-\2-\1', 'g'), '\$(\d+(?:\.\d+)?)', '\1 USD', 'g')",
+    "remove_repetitions_punctuation_refiner": None,
+    "pii_anonymize_refiner": None,
+}
+
+
+def _filter_query(name: str) -> Query:
+    return lambda s, d: _docs(s, d).filter(keep(name, F.col("text"))).select("doc_id")
+
+
+def _refine_query(name: str) -> Query:
+    return lambda s, d: _docs(s, d).select("doc_id", refine(name, F.col("text")).alias("text"))
+
+
+def _dedup_sql(key: str) -> str:
+    return f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {key}"
+
+
+_TOKENS = rf"list_filter(string_split_regex(regexp_replace(lower({_T}), '[^\p{{L}}\p{{N}}_{SPACE}]', '', 'g'), '[{SPACE}]+'), lambda x: x <> '')"
+_NGRAMS = "list_transform(range(1, len(t) - 3), lambda i: array_to_string(list_slice(t, i, i + 4), ' '))"
+_LL = "list_transform(coalesce(lines, []), lambda x: length(x))"
+
+
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "pipeline_general").select("pair_id", "instruction", "output", "golden_answer", "source", "ingested_at")
+
+
+def _distinct_code(s: SparkSession, d: str, *columns: Column) -> DataFrame:
+    return _code(s, d).select("id", *columns).distinct()
+
+
+_OTHER: dict[str, tuple[Query, str | None]] = {
+    "op_word_number_filter": (lambda s, d: word_number_filter(_docs(s, d), "text", "n").select("doc_id", F.col("n").cast("bigint").alias("n")), f"SELECT doc_id, len({_W}) AS n FROM documents WHERE len({_W}) >= 20 AND len({_W}) < 100000"),
+    "op_ngram_score": (lambda s, d: _docs(s, d).select("doc_id", F.round(ngram_score(F.col("text")), 6).alias("score")), f"SELECT doc_id, round(CASE WHEN len(t) < 5 THEN 0.0 ELSE len(list_distinct({_NGRAMS})) / len({_NGRAMS}) END, 6) AS score FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)"),
+    "op_ngram_filter": (lambda s, d: ngram_filter(_docs(s, d), "text").select("doc_id"), f"SELECT doc_id FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE len(t) >= 5 AND len(list_distinct({_NGRAMS})) / len({_NGRAMS}) BETWEEN 0.8 AND 1.0"),
+    "op_general_filter": (lambda s, d: general_filter(_docs(s, d), [F.col("lang") == "en", lambda df: F.length(df["text"]) > 300]).select("doc_id"), "SELECT doc_id FROM documents WHERE lang = 'en' AND length(text) > 300"),
+    "op_hash_deduplicate": (lambda s, d: relational.hash_deduplicate(_docs(s, d), ["text"], "doc_id").select("doc_id"), _dedup_sql(_T)),
+    "op_hash_deduplicate_two_keys": (lambda s, d: relational.hash_deduplicate(_docs(s, d), ["lang", "text"], "doc_id", "sha256").select("doc_id"), _dedup_sql(f"coalesce(lang, ''), {_T}")),
+    "op_ccnet_deduplicate": (lambda s, d: relational.ccnet_deduplicate(_docs(s, d), ["text"], "doc_id").select("doc_id"), _dedup_sql(f"substr(sha1({_T}), 1, 16)")),
+    "op_value_counts": (lambda s, d: relational.value_counts(_docs(s, d), "source", "lang"), "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL"),
+    "op_length_statistics": (lambda s, d: relational.length_statistics(_docs(s, d), "text").select("zeros", "least", "greatest", F.round("mean", 4).alias("mean"), "n_rows"), f"SELECT CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INTEGER) AS greatest, round(avg(n), 4) AS mean, count(*) AS n_rows FROM (SELECT len({_W}) AS n FROM documents)"),
+    "op_pretrain_format": (lambda s, d: relational.pretrain_format(_pairs(s, d), "instruction", "output"), "SELECT coalesce(instruction, '') || chr(10) || coalesce(output, '') AS text FROM pipeline_general"),
+    "op_answer_votes": (lambda s, d: relational.majority(_pairs(s, d), "source", "golden_answer", "pair_id").filter("source IS NOT NULL"), "SELECT source, golden_answer, votes FROM (SELECT source, golden_answer, count(*) AS votes, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(pair_id)) AS k FROM pipeline_general WHERE golden_answer IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2) WHERE k = 1"),
+    "op_adjacent_pairs": (lambda s, d: relational.adjacent_pairs(_docs(s, d), "source", "doc_id", "lang"), "SELECT * FROM (SELECT source, doc_id, lang AS first, lead(lang) OVER (PARTITION BY source ORDER BY doc_id) AS second FROM documents) WHERE second IS NOT NULL"),
+    "op_chunks": (lambda s, d: relational.chunks(_docs(s, d), "doc_id", "text", 100, 20), f"SELECT doc_id, CAST(c AS INTEGER) AS chunk, array_to_string(list_slice(w, c * 80 + 1, c * 80 + 100), ' ') AS raw_chunk FROM (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 20) / 80) AS BIGINT), 1))) AS c FROM (SELECT doc_id, {_W} AS w FROM documents) WHERE len(w) > 0)"),
+    "op_answer_ngram_filter": (lambda s, d: relational.answer_ngram(_pairs(s, d), "instruction", "output").select("pair_id"), None),
+    "op_nest_extract": (lambda s, d: relational.nest_extract(table(s, d, "events"), {"k": ("props", "$.k")}).select("event_id", F.col("k").cast("bigint").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL"),
+    "op_json_parse_filter": (lambda s, d: relational.json_parse_filter(table(s, d, "events"), "props", "parsed", ("k",), {"k": (10, 60)}).select("event_id"), "SELECT event_id FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 60"),
+    "op_union_with_flag": (lambda s, d: relational.union_with_flag(_pairs(s, d).select("pair_id", "instruction"), table(s, d, "raw_code").select("pair_id", "instruction")), "SELECT pair_id, instruction, 'input' AS Synth_or_Input FROM pipeline_general UNION ALL SELECT pair_id, instruction, 'synth' FROM raw_code"),
+    "op_token_f1": (lambda s, d: _pairs(s, d).select("pair_id", F.round(relational.token_f1(F.col("output"), F.col("golden_answer")), 6).alias("f1")), None),
+    "op_sql_difficulty": (lambda s, d: _docs(s, d).filter(F.lower("text").contains("select ")).select("doc_id", relational.sql_difficulty(F.col("text")).alias("score")), None),
+    "op_code_markers": (lambda s, d: _distinct_code(s, d, code.marker_count(F.col("lines")).cast("int").alias("n")), "SELECT DISTINCT id, " + " + ".join(f"(CASE WHEN contains(h, '{m}') THEN 1 ELSE 0 END)" for m in code.MARKERS) + " AS n FROM (SELECT id, lower(array_to_string(list_slice(coalesce(lines, []), 1, 5), chr(10))) AS h FROM code_input)"),
+    "op_code_length": (lambda s, d: (lambda c: _distinct_code(s, d, F.round(c[0], 4).alias("mean_len"), c[1].cast("bigint").alias("max_len"), c[2].alias("score")))(code.length_score(F.col("lines"), F.col("language"))), f"SELECT DISTINCT id, round(coalesce(list_avg({_LL}), 0.0), 4) AS mean_len, coalesce(list_max({_LL}), 0) AS max_len, CASE WHEN len(coalesce(lines, [])) > 100000 OR (CASE WHEN coalesce(language, '') IN ({_quoted(code.LONG_LINED)}) THEN coalesce(list_max({_LL}), 0) > 100000 ELSE coalesce(list_avg({_LL}), 0) > 100 OR coalesce(list_max({_LL}), 0) > 1000 END) THEN 0.0 ELSE 1.0 END AS score FROM code_input"),
+    "op_code_base64_ratio": (lambda s, d: _distinct_code(s, d, F.round(code.encoded_ratio(F.col("text"), "base64"), 6).alias("ratio")), f"SELECT DISTINCT id, round(length(array_to_string(regexp_extract_all({_T}, '[a-zA-Z0-9+/=\\n]{{64,}}'), '')) / greatest(length({_T}), 1), 6) AS ratio FROM code_input"),
+    "op_code_composition": (lambda s, d: _distinct_code(s, d, F.round(code.alpha_ratio(F.col("text")), 6).alias("ratio")), rf"SELECT DISTINCT id, round(length(regexp_replace({_T}, '\P{{L}}', '', 'g')) / greatest(length({_T}), 1), 6) AS ratio FROM code_input"),
+    "op_code_duplicate_lines": (lambda s, d: _distinct_code(s, d, F.round(code.duplicate_line_ratio(F.col("lines")), 6).alias("ratio")), "SELECT DISTINCT id, round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) ELSE 0.0 END, 6) AS ratio FROM (SELECT id, list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> '') AS l FROM code_input)"),
+    "op_code_type_filter": (lambda s, d: code.type_filter(_code(s, d)).select("id").distinct(), "SELECT DISTINCT id FROM code_input WHERE CASE WHEN lower(coalesce(filetype, '')) IN ('text', 'json', 'yaml', 'web ontology language', 'graphviz (dot)') THEN coalesce(line_count <= 512, true) WHEN lower(coalesce(filetype, '')) = 'html' THEN coalesce(visible_text_length >= 100 AND visible_text_length / greatest(total_code_length, 1) >= 0.2, true) ELSE true END"),
+    "op_model_scores": (lambda s, d: model_task(_docs(s, d).select("doc_id", "text"), "prompted_evaluator", "text", "score").select("doc_id", "score"), None),
+    "op_prompted_generator": (lambda s, d: model_task(_docs(s, d).select("doc_id", "text"), "prompted_generator", "text", "generated").select("doc_id", "generated"), None),
+}
+
+
+def queries() -> dict[str, Query]:
+    out = {f"op_{n}": _filter_query(n) for n in _FILTER_SQL} | {f"op_{n}": _refine_query(n) for n in _REFINER_SQL}
+    return out | {n: q for n, (q, _) in _OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out = {f"op_{n}": f"SELECT doc_id FROM documents WHERE {c}" for n, c in _FILTER_SQL.items()}
+    out |= {f"op_{n}": f"SELECT doc_id, {e} AS text FROM documents" for n, e in _REFINER_SQL.items() if e}
+    return out | {n: sql for n, (_, sql) in _OTHER.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang")
+    """Clean, filter, deduplicate and score the documents in one plan."""
+    df = _docs(spark, sf_dir).withColumn("text", refine("remove_extra_spaces_refiner", refine("html_entity_refiner", F.col("text"))))
+    ok = keep("content_null_filter", F.col("text")) & keep("curly_bracket_filter", F.col("text")) & keep("symbol_word_ratio_filter", F.col("text")) & keep("char_number_filter", F.col("text"))
+    return relational.hash_deduplicate(df.filter(ok), ["text"], "doc_id").select("doc_id", "lang", F.length("text").alias("n_chars"), F.round(ngram_score(F.col("text")), 6).alias("ngram_score"))
