@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import SPACE
-from siltworks.operators import code, relational
+from siltworks.operators import code, near_duplicates, relational, scores
 from siltworks.operators.generation import model_task
 from siltworks.operators.refiners import CONTRACTIONS, EMOJI, EMOTICONS, refine
 from siltworks.operators.rule_filters import BLOCKED, BULLETS, ENTITIES, IDENTITY, SPECIAL, STOPWORDS, general_filter, keep, ngram_filter, ngram_score, word_number_filter
@@ -140,6 +140,19 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "op_code_composition": (lambda s, d: _distinct_code(s, d, F.round(code.alpha_ratio(F.col("text")), 6).alias("ratio")), rf"SELECT DISTINCT id, round(length(regexp_replace({_T}, '\P{{L}}', '', 'g')) / greatest(length({_T}), 1), 6) AS ratio FROM code_input"),
     "op_code_duplicate_lines": (lambda s, d: _distinct_code(s, d, F.round(code.duplicate_line_ratio(F.col("lines")), 6).alias("ratio")), "SELECT DISTINCT id, round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) ELSE 0.0 END, 6) AS ratio FROM (SELECT id, list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> '') AS l FROM code_input)"),
     "op_code_type_filter": (lambda s, d: code.type_filter(_code(s, d)).select("id").distinct(), "SELECT DISTINCT id FROM code_input WHERE CASE WHEN lower(coalesce(filetype, '')) IN ('text', 'json', 'yaml', 'web ontology language', 'graphviz (dot)') THEN coalesce(line_count <= 512, true) WHEN lower(coalesce(filetype, '')) = 'html' THEN coalesce(visible_text_length >= 100 AND visible_text_length / greatest(total_code_length, 1) >= 0.2, true) ELSE true END"),
+    "op_minhash_deduplicate": (lambda s, d: near_duplicates.minhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
+    "op_simhash_deduplicate": (lambda s, d: near_duplicates.simhash_deduplicate(_docs(s, d), "text", "doc_id", 0.05).select("doc_id"), None),
+    "op_ngramhash_deduplicate": (lambda s, d: near_duplicates.ngramhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
+    "op_semantic_deduplicate": (lambda s, d: near_duplicates.semantic_deduplicate(table(s, d, "embeddings"), "embedding", "vec_id").select("vec_id"), None),
+    "op_lexical_diversity": (lambda s, d: scores.lexical_diversity(_docs(s, d).select("doc_id", "text"), "text").drop("text"), None),
+    "op_bleu": (lambda s, d: scores.bleu(spread(_pairs(s, d)), "output", "golden_answer").select("pair_id", F.round("BleuScore", 6).alias("score")), r"SELECT pair_id, round(CASE WHEN len(c) = 0 OR len(r) = 0 THEN 0.0 ELSE (list_sum(list_transform(list_distinct(c), lambda w: least(len(list_filter(c, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) + 1e-15) / (len(c) + 1e-9) * CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r) / len(c)) END END, 6) AS score FROM (SELECT pair_id, " + _W.replace("text", "output") + " AS c, " + _W.replace("text", "golden_answer") + " AS r FROM pipeline_general)"),
+    "op_cider": (lambda s, d: scores.cider(_pairs(s, d).dropDuplicates(["pair_id"]), "pair_id", "output", "golden_answer").select("pair_id", F.round("CiderScore", 6).alias("score")), None),
+    "op_readability": (lambda s, d: scores.readability_scores(_docs(s, d).select("doc_id", "text"), "text").select("doc_id", "readability.*"), None),
+    "op_answer_extraction": (lambda s, d: scores.answers(table(s, d, "bench_eval_data").select("item_id", "solution"), "solution").select("item_id", "extracted_answer"), None),
+    "op_answer_match": (lambda s, d: scores.accuracy(scores.match_answers(table(s, d, "bench_eval_data").filter("solution IS NOT NULL AND answer IS NOT NULL"), "solution", "answer")), None),
+    "op_stemming": (lambda s, d: scores.stemming(_docs(s, d).select("doc_id", "text"), "text"), None),
+    "op_vendi": (lambda s, d: scores.vendi(table(s, d, "embeddings"), "embedding"), None),
+    "op_k_center": (lambda s, d: scores.k_center(table(s, d, "embeddings"), "vec_id", "embedding", 10).select("vec_id"), None),
     "op_model_scores": (lambda s, d: model_task(_docs(s, d).select("doc_id", "text"), "prompted_evaluator", "text", "score").select("doc_id", "score"), None),
     "op_prompted_generator": (lambda s, d: model_task(_docs(s, d).select("doc_id", "text"), "prompted_generator", "text", "generated").select("doc_id", "generated"), None),
 }

@@ -18,7 +18,7 @@ def open_source(spark: SparkSession, paths: str | list[str], format_type: str |
     if kind not in FORMATS:
         raise ValueError(f"no reader for {kind}; there are {', '.join(FORMATS)} and pickle")
     r = spark.read.options(**{k: str(v) for k, v in options.items()}).option("recursiveFileLookup", "true")
-    if kind == "json":
+    if kind == "json" and first.endswith(".json"):  # a file with one array or object
         r = r.option("multiLine", "true")
     if kind == "csv":
         r = r.option("header", "true").option("escape", '"').option("multiLine", "true")
