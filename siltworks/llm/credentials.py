@@ -2,8 +2,8 @@
 
 Method: quoted strings (adjacent or concatenated ones joined) and long bare tokens are taken from each file; each has its
 Shannon entropy in the alphabet it is written in held against a threshold that falls with its length, as a short string
-can't reach the entropy of its alphabet. What stands above is a credential if a name, a scheme or a known form
-says so: a secret-like name before it, a user-info part of a URL, an authorisation header, a vendor's token form, a PEM
+can't reach the entropy of its alphabet. What stands above is a credential if it is long and of both cases and digits, or if a name, a scheme or a known form
+says so: a secret-like name before it, a user-info part of a URL, an authorisation header, an option of a command, a login in a comment, a vendor's token form, a PEM
 block of a private key. Hashes, identifiers, names of fields, stand-ins and references to the environment or a vault are
 excluded. Pass phrases of words count under a name of a password.
 
@@ -30,13 +30,12 @@ from siltworks.runtime import require, spread, table
 #: Forms of vendors' tokens.
 FORMS = (r"AKIA[0-9A-Z]{16}", r"ASIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{30,}", r"github_pat_\w{40,}", r"glpat-[\w-]{18,}", r"xox[abeoprs]-[\w-]{10,}", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"sk-[\w-]{20,}", r"AIza[\w-]{30,}", r"npm_[A-Za-z0-9]{30,}", r"pypi-[\w-]{20,}", r"SG\.[\w-]{16,}\.[\w-]{16,}", r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{10,}", r"hf_[A-Za-z0-9]{30,}", r"dop_v1_[a-f0-9]{60,}", r"ya29\.[\w-]{20,}")
 #: Last words of names that hold secrets, alone or in pairs; and words that follow such names without changing them.
-ALONE = frozenset("password passwd pwd pass passphrase passcode secret token apikey auth credential credentials authtoken secretkey accesstoken accesskey privatekey clientsecret".split())
+ALONE = frozenset("password passwd pwd pw pass passphrase passcode secret token apikey auth credential credentials authtoken secretkey accesstoken accesskey privatekey clientsecret".split())
 PAIRS = frozenset("api key|secret key|access key|signing key|private key|auth key|service key|master key|encryption key|account key|shared key|root pass|admin pass|webhook key|license key".split("|"))
-PASSWORDS = frozenset("password passwd pwd pass passphrase passcode secret auth token key apikey credential credentials".split())
+PASSWORDS = frozenset("password passwd pwd pw pass passphrase passcode secret auth token key apikey credential credentials".split())
 SUFFIXES = frozenset("dev prod ci main old new test stage staging local default value str string v str1 tmp backup current x b64 base64 encoded enc hex".split())
 
 _FORM = re.compile(r"(?<![A-Za-z0-9_-])(?:" + "|".join(FORMS) + r")(?![A-Za-z0-9])")
-_TRIGGER = re.compile(r"(?i)pass|pwd|secret|api_?-?key|_key|\bkey\b|Key|token|auth|cred|bearer|basic |-----BEGIN|://[^\s/:@\"']*:[^\s@/]+@|AKIA|ASIA|gh[pousr]_|github_pat|glpat|xox|k_live_|k_test_|sk-|AIza|npm_|pypi-|SG\.|eyJ|hf_|dop_v1|ya29")
 _STRING = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
 _JOINT = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*")
 _NAME = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?\]?\s*(?::\s*[\w<>\[\]&*|]+\s*)?(?:=>|:=|=|:|,|\()\s*(?:(?:new\s+)?\w*\(|\{\s*value\s*:\s*|[brufBRUF]{1,2}|&)*$""")
@@ -49,6 +48,7 @@ _COMMENT = re.compile(r"^\s*(?:#(?!\s*(?:define|include))|//|\*|/\*|--|;)|(?<=\s
 _BARE = re.compile(r"""(?:^|[\s;{,(])(?:export\s+)?["']?([A-Za-z_][\w.\- ]*?)["']?\s*[:=]\s*([^\s"'`;,(){}\[\]]+)""")
 _FLAG = re.compile(r"(?:^|\s)--?([A-Za-z][\w-]*)[= ]([^\s\"'`-][^\s\"'`]*)")
 _OPTION = re.compile(r"""(?:^|\s)(?:-p|--pass(?:word|wd)?[= ]|-u\s+[\w.@-]+:)["']?([^\s"']{4,})""")
+_LOGIN = re.compile(r"""(?i)\b(?:log[- ]?in|sign[- ]?in|user(?:name)?|account)\b[ :=]+[\w.@-]+\s+/\s+["']?([^\s"']{4,})""")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
@@ -61,6 +61,11 @@ _SNAKE = re.compile(r"^(?:[a-z]+|[A-Z]+|[A-Z][a-z]+)(?:[_.\-/ ](?:[a-z]+|[A-Z]+|
 _VARIABLE = re.compile(r"^[a-z]+(?:_[a-z]+)*\d{0,3}$|^[a-z]+(?:[A-Z][a-z]+)*\d{0,3}$|.*[(\[].*")
 _CAMEL = re.compile(r"^[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\d?$")
 _PHRASE = re.compile(r"^[a-z]{2,}(?:[-_. ][a-z]{2,}){3,}$")
+#: Words of names and calls whose values are random by nature and give no access.
+_PUBLIC = frozenset("hash digest checksum sha md5 sum commit revision rev etag fingerprint integrity uuid guid id ids nonce iv salt signature sig public table data image icon font cert certificate seed crc".split())
+_IDENTIFIER = re.compile(r"[A-Za-z_.-]+\d{0,3}")
+_ONE_WORD = re.compile(r"[\w+/=.~!@#$%^&*-]+")
+_ENDED = re.compile(r"[\"'`][\s;,)\]}]*(?:(?:#|//).*)?")
 _HASHED = re.compile(r"^(?:sha\d{1,3}[-:]|md5:|\$2[aby]\$|\$argon|\$[156]\$|\{ssha\}|data:)", re.I)
 
 
@@ -118,6 +123,16 @@ def is_credential(value: str, named: bool) -> bool:
     return random_like(v)
 
 
+def nominated(value: str) -> bool:
+    """Whether a literal is a credential by entropy alone: random text of 16 to 80 characters in both cases and digits, no hash, identifier or name.
+
+    Shorter ones can't be told from codes and names of types without a name; longer ones without a known form are embedded data.
+    """
+    if not 16 <= len(value) <= 80 or not (any(c.isdigit() for c in value) and any(c.isupper() for c in value) and any(c.islower() for c in value)):
+        return False
+    return not _IDENTIFIER.fullmatch(value) and bool(_ONE_WORD.fullmatch(value)) and is_credential(value, True) and entropy(value) >= 0.8 * math.log2(min(len(value), alphabet(value)))
+
+
 def _literals(line: str) -> Iterator[tuple[str, list[tuple[int, int]], int]]:
     """(joined value, spans of its parts, start) of the strings of a line; neighbours that are concatenated are one."""
     cur, spans, start, end = None, [], 0, 0
@@ -159,7 +174,8 @@ def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[
     """Spans of the credentials of one line. before: the line above; config: names and values needn't be quoted."""
     out: list[tuple[int, int]] = []
     out += [m.span() for m in _FORM.finditer(line) if not _STAND_IN.match(m[0]) and random_like(m[0])]
-    out += [m.span(2) for m in _URL.finditer(line) if len(m[2]) >= 4 and not _STAND_IN.match(m[2]) and not _REFERENCE.search(m[2]) and m[2].lower() not in ("pass", "passwd", "pwd", "password", "secret") and not re.fullmatch(r"[%{<\[$].*", m[2])]
+    if "://" in line:
+        out += [m.span(2) for m in _URL.finditer(line) if len(m[2]) >= 4 and not _STAND_IN.match(m[2]) and not _REFERENCE.search(m[2]) and m[2].lower() not in ("pass", "passwd", "pwd", "password", "secret") and not re.fullmatch(r"[%{<\[$].*", m[2])]
     for m in _SCHEME.finditer(line):
         kind, v = m[1].lower(), m[2]
         if _basic(v) if kind == "basic" else is_credential(v, True) and (kind == "bearer" or bool(_FORM.match(v))):
@@ -178,6 +194,10 @@ def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[
         if n and secret_name(n[1]) and is_credential(value, secret_name(n[1]) == "password"):
             out += spans
             continue
+        if n and nominated(value) and not {w.lower() for w in _WORDS.findall(n[1])} & _PUBLIC and _ENDED.fullmatch(line, spans[-1][1]):
+            out += spans
+            continue
+        out += [x for m in _OPTION.finditer(value) if is_credential(m[1], True) for x in _cut(spans, *m.span(1))]
         for m in _INNER.finditer(value):
             if (k := secret_name(m[1])) and is_credential(m[2], k == "password"):
                 out += _cut(spans, *m.span(2))
@@ -185,9 +205,10 @@ def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[
     for m in _BARE.finditer(line, 0 if config else note.start() if note else len(line)):
         if not _VARIABLE.match(m[2]) and (k := secret_name(m[1])) and is_credential(m[2], k == "password"):
             out.append(m.span(2))
-    if config:
-        out += [m.span(1) for m in _OPTION.finditer(line) if is_credential(m[1], True)]
-        for m in _FLAG.finditer(line):
+    told = 0 if config else note.start() if note else len(line)
+    out += [m.span(1) for rx in (_OPTION, _LOGIN) for m in rx.finditer(line, told) if is_credential(m[1], True)]
+    if "-" in line:
+        for m in _FLAG.finditer(line, told):
             if (k := secret_name(m[1])) and is_credential(m[2], k == "password"):
                 out.append(m.span(2))
     return out
@@ -195,7 +216,7 @@ def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[
 
 def find(text: str | None, config: bool = False) -> list[tuple[int, int, int]]:
     """(line number from 1, start, end) of each credential's characters, as offsets into the text."""
-    if not text or not _TRIGGER.search(text):
+    if not text:
         return []
     out: list[tuple[int, int, int]] = []
     at, no, before, skip = 0, 0, "", -1
@@ -204,7 +225,7 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, int]]:
             at += len(raw)
             continue
         no += 1
-        if at >= skip and _TRIGGER.search(raw):
+        if at >= skip and raw.strip():
             if (m := _PEM.search(raw)) and (end := _PEM_END.search(text, at + m.end())) and _BODY.search(text, at + m.end(), end.start()):
                 out.append((no, at + m.end(), at + m.end()))
                 out += [(no, at + m.end() + b.start(), at + m.end() + b.end()) for b in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{8,}", text[at + m.end() : end.start()])]

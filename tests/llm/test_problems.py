@@ -191,3 +191,8 @@ def test_quality(spark):
     got = {x.doc_id: x.kind for x in quality.classify(df, COMMON).collect()}
     assert got[1] is None and got[2] == "list" and got[3] == "table" and got[4] == "junk" and got[5] is None and got[6] is None
     assert quality.statistics(df, COMMON).count() == 6
+
+
+@pytest.mark.parametrize("line,config,hit", [("mysql -h h.internal -u app -p'Briquil717@' -e status", True, "Briquil717@"), ("// curl -u app:fHfvwxuHcVG https://api.example/v1", False, "fHfvwxuHcVG"), ("# login svc_item / Dulmar1239!", False, "Dulmar1239!"), ('const corpusUserPw = "Drizu1897!";', False, "Drizu1897!"), ('user_pw: "crates-lamps-kites-buttons"', True, "crates-lamps-kites-buttons"), ('graph = connect("q7Rb2XkVt9LmZ4sWc8Yd")', False, "q7Rb2XkVt9LmZ4sWc8Yd"), ('page_digest = "q7Rb2XkVt9LmZ4sWc8Yd"', False, None), ('mysql -u app -p"$WEBHOOK_SECRET"', True, None), ("x = sorted(a, key=lambda p: -p[1])[:273]", False, None)])
+def test_credentials_on_lines_without_a_trigger(line, config, hit):
+    assert [line[a:b] for _, a, b in credentials.find(line, config)] == ([hit] if hit else [])
