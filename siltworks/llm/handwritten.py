@@ -2,15 +2,18 @@
 
 Method: a file's tokens, comments left out, give shingles of five. With identifiers and literals masked they show families
 within a repository's files: in a generated file one masked unit stands again and again, so that nearly all its shingles occur
-equally often; a statement by the generator in a comment counts too. MinHash signatures are banded and verified on the
-exact shingle sets (SIMILAR or more of the smaller set in common, so that local additions don't part copies); clusters over several repositories are vendored copies. The clusters are made
+equally often; a statement by the generator in a comment counts too. Files are alike if SIMILAR or more of the smaller
+set of shingles is in the other, so that local additions don't part copies; clusters over several repositories are vendored copies.
+Candidates come from a prefix filter, which misses no such pair: of a set's shingles, rarest first, one of the first
+n - SIMILAR n + 1 is in every set that holds SIMILAR of it. The clusters are made
 on shingles that keep their identifiers: hand-written files of one style agree in their masked shingles to 0.8 and more, so
 masked clusters would join them. A file of literals with no code between them is a blob; long lines without white space are
 minified.
 
 Copies with equal tokens are one class from the start, with the least and the greatest repository of the class, so a class
-may hold any share of the files. In a band each class is held against the band's leader, in rounds over what is left, with
-joins only; a band's members are never gathered or paired with each other. Null and blank texts are never cases.
+may hold any share of the files. In a bucket (a rare shingle) each class is first held against the largest one; then only classes
+that aren't known to be alike by that are held against each other, so hot libraries make few pairs and no link between clusters
+is lost at any size. All of it is joins; a bucket's members are never gathered. Null and blank texts are never cases.
 """
 
 from __future__ import annotations
@@ -25,13 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from siltworks.llm.conversations import components
 from siltworks.runtime import durable, require, spread, table
 
-SHINGLE, SIMILAR, BANDS, ROWS = 5, 0.8, 20, 6
-#: Buckets of a band with at most so many classes are compared pair by pair; larger ones against a leader, in rounds, until they are as small.
-SMALL = 32
+SHINGLE, SIMILAR = 5, 0.8
 #: Keywords that aren't masked.
 KEYWORDS = frozenset("def return if for in while class else elif try except finally raise import from as with lambda yield not and or is None True False int char const static void public private protected final func var let function new switch case default break continue throw package type struct map range len append string float64 bool double long short unsigned signed size_t sizeof typedef enum include define interface extends implements this self null true false async await export exports require module then fi do done local echo set".split())
 #: What generators write about their output, by language.
@@ -52,7 +54,6 @@ _HASHED = (".py", ".sh", ".yaml", ".yml", ".bash", ".rb", ".pl", ".toml")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?-----END [A-Z0-9 ]+-----")
 _RANDOM = re.compile(r"[A-Za-z0-9+/=_-]{20,}|(?:\\x[0-9a-fA-F]{2}){4,}|(?:0x[0-9a-fA-F]{1,2},?\s*){4,}")
 _PLAIN = re.compile(r"\b\d[\d.]*\b|[\"'][A-Za-z0-9]{1,12}[\"']|[\"'][\d.]+[\"']|^[\w.,;\t-]*\d[\w.,;\t-]*$", re.M)
-_A, _B = (np.random.default_rng(11).integers(1, 2**62, BANDS * ROWS, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def tokens(text: str, path: str | None) -> list[str]:
@@ -141,79 +142,75 @@ def stated(text: str) -> bool:
     return any(_NOTE.match(x) and _STATED.search(x) for x in text.splitlines())
 
 
-def profile(text: str | None, path: str | None) -> tuple[str | None, str | None, list[int], np.ndarray | None]:
-    """(kind by the file alone, token class, MinHash signature, unmasked shingles); nothing for a blank text."""
+def profile(text: str | None, path: str | None) -> tuple[str | None, str | None, np.ndarray | None]:
+    """(kind by the file alone, token class, unmasked shingles); nothing for a blank text."""
     if not text or not text.strip():
-        return None, None, [], None
+        return None, None, None
     kind = "generated" if stated(text) else "minified" if minified(text) else "data" if blob(text) else None
     toks = tokens(text, path)
     if not toks:
-        return kind, None, [], None
+        return kind, None, None
     codes = _coded(toks)
     if kind is None and len(_PROSE.findall(text)) < 2 and not (path or "").lower().removesuffix(".bak").endswith(_CONFIG) and repeated_unit(codes[:, 1]):
         kind = "generated"
     if kind:
-        return kind, None, [], None
+        return kind, None, None
     full = np.ascontiguousarray(codes[:, 0])
     shingles = np.unique(_shingles(full))
-    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        h = shingles[i : i + 4096, None] * _A + _B
-        h ^= h >> np.uint64(29)
-        np.minimum(low, h.min(0), out=low)
-    bands = [xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), seed=b) - 2**63 for b in range(BANDS)]
-    return kind, xxhash.xxh128_hexdigest(full.tobytes()), bands, np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+    return kind, xxhash.xxh128_hexdigest(full.tobytes()), np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
 
 
 def profiles(df: DataFrame, key: str = "id", text: str = "text", path: str = "file_path", repo: str = "repo_name") -> DataFrame:
-    """(key, repo, kind, cls, bands, shingles) of each row; repo is repo_name or the two path parts after repos/."""
+    """(key, repo, kind, cls, shingles) of each row; repo is repo_name or the two path parts after repos/."""
     require(df, key, text, path, repo)
-    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("repo", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("repo", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("cls", T.StringType()), T.StructField("shingles", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [profile(t, p) for t, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            sizes = np.cumsum([0] + [len(g[3]) if g[3] is not None else 0 for g in got], dtype=np.int32)
-            flat = np.concatenate([g[3] for g in got if g[3] is not None] or [np.zeros(0, np.int32)])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=[key, "repo", "kind", "cls", "bands", "shingles"])
+            sizes = np.cumsum([0] + [len(g[2]) if g[2] is not None else 0 for g in got], dtype=np.int32)
+            flat = np.concatenate([g[2] for g in got if g[2] is not None] or [np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=[key, "repo", "kind", "cls", "shingles"])
 
     name = F.coalesce(F.col(repo), F.nullif(F.regexp_extract(F.coalesce(F.col(path), F.lit("")), r"repos/([^/]+/[^/]+)/", 1), F.lit("")))
     return spread(df.select(key, text, path, name.alias("repo")).filter(F.length(F.trim(text)) > 0)).mapInArrow(run, kind)
 
 
 def links(classes: DataFrame, files: DataFrame, key: str, similar: float = SIMILAR) -> DataFrame:
-    """(a, b) of classes with verified similarity: each class against the leaders of its bands, in rounds until none is left.
+    """(a, b) of classes with verified similarity; their components are those of all similar pairs.
 
-    Shingle sets are fetched once, from each class's representative, for the classes that share a bucket with another.
+    Rows of shingles that stand in one class only are dropped at once; they count for the prefix as the rarest ones.
     """
-    left = durable(classes.select("cls", F.posexplode("bands").alias("band", "h")))
-    busy = left.groupBy("band", "h").agg(F.count("*").alias("n")).filter("n > 1").select("band", "h")
-    left = durable(left.join(busy, ["band", "h"], "left_semi"))
-    near = left.select("cls").distinct().join(classes.select("cls", F.col("rep").alias(key)), "cls").select(key)
-    sets = durable(files.select(key, "cls", "shingles").filter("cls IS NOT NULL").join(near, key, "left_semi").dropDuplicates(["cls"]).select("cls", "shingles"))
-    out = None
-    while True:
-        lead = left.groupBy("band", "h").agg(F.min("cls").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-        member = left.join(lead, ["band", "h"])
-        few = member.filter(F.col("n") <= SMALL).select("band", "h", "cls")
-        few = few.join(few.withColumnRenamed("cls", "leader"), ["band", "h"]).filter("leader < cls").select("cls", "leader").distinct()
-        many = durable(member.filter((F.col("n") > SMALL) & (F.col("cls") != F.col("leader"))).select("cls", "band", "h", "leader"))
-        pairs = few.unionByName(many.select("cls", "leader")).distinct()
-        got = pairs.join(sets, "cls").join(sets.select(F.col("cls").alias("leader"), F.col("shingles").alias("other")), "leader")
+    ids = durable(classes.select("cls", F.col("rep").alias(key)).withColumn("i", F.monotonically_increasing_id()))
+    sets = durable(files.filter("cls IS NOT NULL").select(key, "cls", "shingles").join(ids, [key, "cls"]).dropDuplicates(["i"]).select("i", "shingles"))
+    each = sets.select("i", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    shared = durable(each.withColumn("f", F.count("*").over(W.partitionBy("h"))).filter("f > 1"))
+    need = F.ceil(F.col("n") * similar - 1e-9)
+    rare = shared.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("f", "h"))).withColumn("m", F.count("*").over(W.partitionBy("i")))
+    rare = durable(rare.filter(F.col("r") <= F.col("m") - need + 1).select("h", "i", "n"))
+    member = durable(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i", "n"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        got = pairs.join(sets, "i").join(sets.select(F.col("i").alias("j"), F.col("shingles").alias("other")), "j")
         both = F.size(F.array_intersect("shingles", "other"))
-        same = durable(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("cls", "leader"))
-        new = same.select(F.col("cls").alias("a"), F.col("leader").alias("b"))
-        out = new if out is None else out.unionByName(new)
-        if not many.limit(1).count():
-            return durable(out)
-        # what is like its leader is settled in this band, and so is the leader; the others go on
-        left = durable(many.join(same, ["cls", "leader"], "left_anti").select("cls", "band", "h"))
+        return durable(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("i", "j"))
+
+    lead = member.groupBy("h").agg(F.max(F.struct("n", "i")).alias("top")).select("h", F.col("top.i").alias("j"))
+    led = verified(rare.join(lead, "h").filter("i != j").select("i", "j").distinct())
+    label = led.groupBy("i").agg(F.max("j").alias("c"))
+    small, large = (x.join(label, "i", "left").withColumn("c", F.coalesce("c", "i")) for x in (rare, member))
+    large = large.select("h", F.col("i").alias("j"), F.col("n").alias("n2"), F.col("c").alias("d"))
+    apart = small.select("h", "c").distinct().join(large.select("h", "d").distinct(), "h").filter("c != d")
+    pairs = small.join(apart, ["h", "c"]).join(large, ["h", "d"]).filter("i != j AND n2 >= n").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    out = led.unionByName(verified(pairs))
+    name = ids.select("i", "cls")
+    return durable(out.join(name.withColumnRenamed("cls", "a"), "i").join(name.select(F.col("i").alias("j"), F.col("cls").alias("b")), "j").select("a", "b"))
 
 
 def not_handwritten(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, kind) of each file that isn't hand-written: generated, minified, data or vendored."""
     files = durable(profiles(df, key))
-    classes = durable(files.filter("cls IS NOT NULL AND kind IS NULL").groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.any_value("bands").alias("bands"), F.min(key).alias("rep")))
+    classes = durable(files.filter("cls IS NOT NULL AND kind IS NULL").groupBy("cls").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"), F.min(key).alias("rep")))
     comp = components(links(classes, files, key)).withColumnRenamed("node", "cls")
     named = classes.select("cls", "lo", "hi").join(comp, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     across = named.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("component")

@@ -196,3 +196,37 @@ def test_quality(spark):
 @pytest.mark.parametrize("line,config,hit", [("mysql -h h.internal -u app -p'Briquil717@' -e status", True, "Briquil717@"), ("// curl -u app:fHfvwxuHcVG https://api.example/v1", False, "fHfvwxuHcVG"), ("# login svc_item / Dulmar1239!", False, "Dulmar1239!"), ('const corpusUserPw = "Drizu1897!";', False, "Drizu1897!"), ('user_pw: "crates-lamps-kites-buttons"', True, "crates-lamps-kites-buttons"), ('graph = connect("q7Rb2XkVt9LmZ4sWc8Yd")', False, "q7Rb2XkVt9LmZ4sWc8Yd"), ('page_digest = "q7Rb2XkVt9LmZ4sWc8Yd"', False, None), ('mysql -u app -p"$WEBHOOK_SECRET"', True, None), ("x = sorted(a, key=lambda p: -p[1])[:273]", False, None)])
 def test_credentials_on_lines_without_a_trigger(line, config, hit):
     assert [line[a:b] for _, a, b in credentials.find(line, config)] == ([hit] if hit else [])
+
+
+def test_copies_with_large_additions_are_found(spark):
+    r = random.Random(7)
+    body = lambda n: "\n".join(" ".join(r.choice(["x", "+", "(", "[", "=", ";", "if", "return", "{", "y", f"v{r.randint(1, 999)}", str(r.randint(1, 999))]) for _ in range(r.randint(4, 14))) for _ in range(n))
+    rows = []
+    for k in range(30):
+        base = body(25)
+        rows += [(f"a{k}", "/a.c", base, f"x/a{k}"), (f"b{k}", "/b.c", base + "\n" + body(24), f"x/b{k}")]
+    rows += [(f"h{k}", "/h.c", body(25), f"x/h{k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "id string, file_path string, text string, repo_name string")
+    assert {x.id: x.kind for x in handwritten.not_handwritten(df).collect()} == {i: "vendored" for i, *_ in rows if i[0] != "h"}
+
+
+def test_links_connect_what_brute_force_connects(spark):
+    r = random.Random(8)
+    core, own = list(range(100)), iter(range(1000, 10**6))
+    add = lambda xs, n: xs + [next(own) for _ in range(n)]
+    sets = {"000": add(core, 0), "001": add(core[:85], 15)}
+    sets["zzz"] = add(sets["001"][:5] + sets["001"][20:], 5)  # like 001, unlike the leader 000 of their bucket
+    sets |= {f"l{k:02d}": add(core, r.randint(0, 60)) for k in range(40)} | {f"u{k:02d}": add(r.sample(core, 60), 40) for k in range(40)}
+    classes = spark.createDataFrame([(c, c, [1]) for c in sets], "cls string, rep string, bands array<bigint>")
+    files = spark.createDataFrame([(c, c, sorted(x)) for c, x in sets.items()], "id string, cls string, shingles array<int>")
+    near = {(a, b) for a in sets for b in sets if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * min(len(sets[a]), len(sets[b]))}
+    flat = lambda df: {frozenset(g) for g in _groups(map(tuple, conversations.components(df).collect()))}
+    assert ("001", "zzz") in near and ("000", "zzz") not in near
+    assert flat(handwritten.links(classes, files, "id")) == flat(spark.createDataFrame(sorted(near), "a string, b string"))
+
+
+def _groups(pairs):
+    by = {}
+    for node, c in pairs:
+        by.setdefault(c, set()).add(node)
+    return by.values()
