@@ -181,27 +181,29 @@ def links(classes: DataFrame, files: DataFrame, key: str, similar: float = SIMIL
 
     Rows of shingles that stand in one class only are dropped at once; they count for the prefix as the rarest ones.
     """
-    ids = durable(classes.select("cls", F.col("rep").alias(key)).withColumn("i", F.monotonically_increasing_id()))
-    sets = durable(files.filter("cls IS NOT NULL").select(key, "cls", "shingles").join(ids, [key, "cls"]).dropDuplicates(["i"]).select("i", "shingles"))
-    each = sets.select("i", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
-    shared = durable(each.withColumn("f", F.count("*").over(W.partitionBy("h"))).filter("f > 1"))
-    need = F.ceil(F.col("n") * similar - 1e-9)
-    rare = shared.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("f", "h"))).withColumn("m", F.count("*").over(W.partitionBy("i")))
-    rare = durable(rare.filter(F.col("r") <= F.col("m") - need + 1).select("h", "i", "n"))
-    member = durable(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i", "n"))
+    size = files.filter("cls IS NOT NULL").select("cls", F.size("shingles").alias("n")).groupBy("cls").agg(F.max("n").alias("n"))
+    ids = durable(classes.select("cls", F.col("rep").alias(key)).join(size, "cls").orderBy("n").withColumn("i", F.monotonically_increasing_id()))
+    # i grows with n, so of two classes the one of the lesser i isn't the larger one
+    sets = durable(files.filter("cls IS NOT NULL").select(key, "cls", "shingles").join(ids.select(key, "cls", "i"), [key, "cls"]).dropDuplicates([key, "cls"]).select("i", "shingles"))
+    each = sets.select("i", F.explode("shingles").alias("h")).withColumn("f", F.count("*").over(W.partitionBy("h"))).filter("f > 1")
+    # a shingle is written behind its count, in one number: rows are small and sort from rare to frequent
+    shared = durable(each.select("i", F.shiftleft("f", 32).bitwiseOR(F.col("h").cast("bigint").bitwiseAND(F.lit(2**32 - 1))).alias("h")))
+    rare = shared.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("h"))).withColumn("m", F.count("*").over(W.partitionBy("i"))).join(ids.select("i", "n"), "i")
+    rare = durable(rare.filter(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("h", "i"))
+    member = durable(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         got = pairs.join(sets, "i").join(sets.select(F.col("i").alias("j"), F.col("shingles").alias("other")), "j")
         both = F.size(F.array_intersect("shingles", "other"))
         return durable(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("i", "j"))
 
-    lead = member.groupBy("h").agg(F.max(F.struct("n", "i")).alias("top")).select("h", F.col("top.i").alias("j"))
+    lead = member.groupBy("h").agg(F.max("i").alias("j"))
     led = verified(rare.join(lead, "h").filter("i != j").select("i", "j").distinct())
     label = led.groupBy("i").agg(F.max("j").alias("c"))
     small, large = (x.join(label, "i", "left").withColumn("c", F.coalesce("c", "i")) for x in (rare, member))
-    large = large.select("h", F.col("i").alias("j"), F.col("n").alias("n2"), F.col("c").alias("d"))
+    large = large.select("h", F.col("i").alias("j"), F.col("c").alias("d"))
     apart = small.select("h", "c").distinct().join(large.select("h", "d").distinct(), "h").filter("c != d")
-    pairs = small.join(apart, ["h", "c"]).join(large, ["h", "d"]).filter("i != j AND n2 >= n").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct()
+    pairs = small.join(apart, ["h", "c"]).join(large, ["h", "d"]).filter("i < j").select("i", "j").distinct()
     out = led.unionByName(verified(pairs))
     name = ids.select("i", "cls")
     return durable(out.join(name.withColumnRenamed("cls", "a"), "i").join(name.select(F.col("i").alias("j"), F.col("cls").alias("b")), "j").select("a", "b"))
