@@ -3,7 +3,8 @@
 A sequential filter that compares with earlier kept rows only depends on the order of rows and can't be distributed. Here
 groups are the connected components of verified links, and the row of least order of each is kept; this drops the same rows
 save along chains (a like b, b like c, a unlike c), where the sequential filter keeps c. Exact copies are one class first, and classes in a
-bucket are held against the bucket's leader in rounds, so neither copies nor hot buckets make pairs among themselves.
+bucket are held against the bucket's leader first and then only against classes that aren't alike the same leader, so neither copies
+nor hot buckets of like texts make pairs among themselves and no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -54,17 +55,25 @@ def group_links(links: DataFrame) -> DataFrame:
 
 
 def leader_links(keys: DataFrame, sketches: DataFrame, alike: object) -> DataFrame:
-    """(a, b) links of ids that share a bucket. keys: (id, bucket); sketches: (id, sketch); alike(sketch, other) -> Column."""
-    left, out = durable(keys), None
-    while True:
-        lead = left.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").select("bucket", "leader")
-        cand = durable(left.join(lead, "bucket").filter("id != leader"))
-        if not cand.limit(1).count():
-            return out if out is not None else cand.select(F.col("id").alias("a"), F.col("leader").alias("b"))
-        pairs = cand.select("id", "leader").distinct().join(sketches, "id").join(sketches.select(F.col("id").alias("leader"), F.col("sketch").alias("other")), "leader")
-        got = durable(pairs.filter(alike(F.col("sketch"), F.col("other"))).select("id", "leader"))
-        out = got.select(F.col("id").alias("a"), F.col("leader").alias("b")) if out is None else out.union(got.select("id", "leader"))
-        left = durable(cand.join(got, ["id", "leader"], "left_anti").select("id", "bucket"))
+    """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch); alike(sketch, other) -> Column.
+
+    Each id is held against its bucket's leader first; then only ids that aren't alike one leader are held against each other.
+    """
+    keys = durable(keys.distinct())
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        got = pairs.join(sketches, "a").join(sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other")), "b")
+        return durable(got.filter(alike(F.col("sketch"), F.col("other"))).select("a", "b"))
+
+    sketches = sketches.select(F.col("id").alias("a"), "sketch")
+    lead = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    led = verified(keys.join(lead, "bucket").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
+    label = led.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
+    own = keys.join(label, "id", "left").select("bucket", F.col("id").alias("a"), F.coalesce("c", "id").alias("c"))
+    other = own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"))
+    apart = own.select("bucket", "c").distinct().join(other.select("bucket", "d").distinct(), "bucket").filter("c < d")
+    pairs = own.join(apart, ["bucket", "c"]).join(other, ["bucket", "d"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return led.union(verified(pairs))
 
 
 def _classes(df: DataFrame, text: str, order: str) -> DataFrame:

@@ -92,3 +92,22 @@ def test_sources_and_stream(spark, tmp_path, edges):
     s = read_stream(spark, f"{tmp_path}/parquet", edges.schema)
     run(s, [lambda d: general_filter(d, [d["text"].isNotNull()])], f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(EDGES) - 1
+
+
+def test_leader_links_connect_what_brute_force_connects(spark):
+    from pyspark.sql import functions as F
+
+    v = [0, 2, 4, 100, 102] + list(range(7, 95, 11))  # 1 and 2 are like each other; only 1 is like the leader 0
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id bigint, sketch bigint")
+    got = nd.group_links(nd.leader_links(df.select("id", F.lit(1).alias("bucket")), df, lambda a, b: F.abs(a - b) <= 2)).collect()
+    assert {(r.node, r.component) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+
+
+def test_registered_queries_do_the_whole_job(spark):
+    from siltworks.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    docs, q = spark.read.parquet(f"{d}/documents.parquet"), catalogue.queries()
+    assert q["op_sql_difficulty"](spark, d).count() == docs.count()
+    assert q["op_sql_difficulty"](spark, d).filter("score < 0").count() == 0
+    assert sorted(r.doc_id for r in q["op_simhash_deduplicate"](spark, d).collect()) == sorted(r.doc_id for r in nd.simhash_deduplicate(docs, "text", "doc_id").collect())
