@@ -54,10 +54,11 @@ def group_links(links: DataFrame) -> DataFrame:
         label = new
 
 
-def leader_links(keys: DataFrame, sketches: DataFrame, alike: object) -> DataFrame:
+def leader_links(keys: DataFrame, sketches: DataFrame, alike: object, small: bool = False) -> DataFrame:
     """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch); alike(sketch, other) -> Column.
 
     Each id is held against its bucket's leader first; then only ids that aren't alike one leader are held against each other.
+    small: sketches of a few bytes go along with the keys, so that pairs are verified where they are made and never written.
     """
     keys = durable(keys.distinct())
 
@@ -71,6 +72,10 @@ def leader_links(keys: DataFrame, sketches: DataFrame, alike: object) -> DataFra
     label = led.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
     own = keys.join(label, "id", "left").select("bucket", F.col("id").alias("a"), F.coalesce("c", "id").alias("c"))
     other = own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"))
+    if small:
+        mine = own.join(sketches, "a")
+        theirs = mine.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"), F.col("sketch").alias("other"))
+        return led.union(durable(mine.join(theirs, "bucket").filter((F.col("b") < F.col("a")) & (F.col("c") != F.col("d")) & alike(F.col("sketch"), F.col("other"))).select("a", "b").distinct()))
     apart = own.select("bucket", "c").distinct().join(other.select("bucket", "d").distinct(), "bucket").filter("c < d")
     pairs = own.join(apart, ["bucket", "c"]).join(other, ["bucket", "d"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return led.union(verified(pairs))
@@ -130,7 +135,7 @@ def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float
     cuts = [round(i * 64 / (bits + 1)) for i in range(bits + 2)]
     blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sketch", a).bitwiseAND(F.lit(2 ** (z - a) - 1).cast("bigint")).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))])
     keys = sk.select("id", F.explode(blocks).alias("k")).select("id", F.xxhash64("k.i", "k.v").alias("bucket"))
-    return _keep_first(df, order, classes, leader_links(keys, sk, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits))
+    return _keep_first(df, order, classes, leader_links(keys, sk, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits, True))
 
 
 @register("ngramhash_deduplicate_filter")

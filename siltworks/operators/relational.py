@@ -143,4 +143,4 @@ def sql_difficulty(c: Column) -> Column:
     t = F.lower(nz(c))
     n = lambda p: F.regexp_count(t, F.lit(p))
     has = lambda p: t.rlike(p).cast("int")
-    return 2 * (n(r"\bselect\b") - 1) + n(r"\bjoin\b") + (n(r"\b(?:and|or)\b") >= 2).cast("int") + has(r"\b(?:in|exists|like)\b") + has(r"\bgroup by\b") + has(r"\bhaving\b") + has(r"\b(?:count|sum|avg|min|max)\s*\(") + has(r"\border by\b") + has(r"\blimit\b") + 2 * has(r"\b(?:union|intersect|except)\b")
+    return 2 * F.greatest(n(r"\bselect\b") - 1, F.lit(0)) + n(r"\bjoin\b") + (n(r"\b(?:and|or)\b") >= 2).cast("int") + has(r"\b(?:in|exists|like)\b") + has(r"\bgroup by\b") + has(r"\bhaving\b") + has(r"\b(?:count|sum|avg|min|max)\s*\(") + has(r"\border by\b") + has(r"\blimit\b") + 2 * has(r"\b(?:union|intersect|except)\b")

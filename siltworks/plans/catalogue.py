@@ -133,7 +133,7 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "op_json_parse_filter": (lambda s, d: relational.json_parse_filter(table(s, d, "events"), "props", "parsed", ("k",), {"k": (10, 60)}).select("event_id"), "SELECT event_id FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 60"),
     "op_union_with_flag": (lambda s, d: relational.union_with_flag(_pairs(s, d).select("pair_id", "instruction"), table(s, d, "raw_code").select("pair_id", "instruction")), "SELECT pair_id, instruction, 'input' AS Synth_or_Input FROM pipeline_general UNION ALL SELECT pair_id, instruction, 'synth' FROM raw_code"),
     "op_token_f1": (lambda s, d: _pairs(s, d).select("pair_id", F.round(relational.token_f1(F.col("output"), F.col("golden_answer")), 6).alias("f1")), None),
-    "op_sql_difficulty": (lambda s, d: _docs(s, d).filter(F.lower("text").contains("select ")).select("doc_id", relational.sql_difficulty(F.col("text")).alias("score")), None),
+    "op_sql_difficulty": (lambda s, d: _docs(s, d).select("doc_id", relational.sql_difficulty(F.col("text")).alias("score")), None),
     "op_code_markers": (lambda s, d: _distinct_code(s, d, code.marker_count(F.col("lines")).cast("int").alias("n")), "SELECT DISTINCT id, " + " + ".join(f"(CASE WHEN contains(h, '{m}') THEN 1 ELSE 0 END)" for m in code.MARKERS) + " AS n FROM (SELECT id, lower(array_to_string(list_slice(coalesce(lines, []), 1, 5), chr(10))) AS h FROM code_input)"),
     "op_code_length": (lambda s, d: (lambda c: _distinct_code(s, d, F.round(c[0], 4).alias("mean_len"), c[1].cast("bigint").alias("max_len"), c[2].alias("score")))(code.length_score(F.col("lines"), F.col("language"))), f"SELECT DISTINCT id, round(coalesce(list_avg({_LL}), 0.0), 4) AS mean_len, coalesce(list_max({_LL}), 0) AS max_len, CASE WHEN len(coalesce(lines, [])) > 100000 OR (CASE WHEN coalesce(language, '') IN ({_quoted(code.LONG_LINED)}) THEN coalesce(list_max({_LL}), 0) > 100000 ELSE coalesce(list_avg({_LL}), 0) > 100 OR coalesce(list_max({_LL}), 0) > 1000 END) THEN 0.0 ELSE 1.0 END AS score FROM code_input"),
     "op_code_base64_ratio": (lambda s, d: _distinct_code(s, d, F.round(code.encoded_ratio(F.col("text"), "base64"), 6).alias("ratio")), f"SELECT DISTINCT id, round(length(array_to_string(regexp_extract_all({_T}, '[a-zA-Z0-9+/=\\n]{{64,}}'), '')) / greatest(length({_T}), 1), 6) AS ratio FROM code_input"),
@@ -141,7 +141,7 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "op_code_duplicate_lines": (lambda s, d: _distinct_code(s, d, F.round(code.duplicate_line_ratio(F.col("lines")), 6).alias("ratio")), "SELECT DISTINCT id, round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) ELSE 0.0 END, 6) AS ratio FROM (SELECT id, list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> '') AS l FROM code_input)"),
     "op_code_type_filter": (lambda s, d: code.type_filter(_code(s, d)).select("id").distinct(), "SELECT DISTINCT id FROM code_input WHERE CASE WHEN lower(coalesce(filetype, '')) IN ('text', 'json', 'yaml', 'web ontology language', 'graphviz (dot)') THEN coalesce(line_count <= 512, true) WHEN lower(coalesce(filetype, '')) = 'html' THEN coalesce(visible_text_length >= 100 AND visible_text_length / greatest(total_code_length, 1) >= 0.2, true) ELSE true END"),
     "op_minhash_deduplicate": (lambda s, d: near_duplicates.minhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
-    "op_simhash_deduplicate": (lambda s, d: near_duplicates.simhash_deduplicate(_docs(s, d), "text", "doc_id", 0.05).select("doc_id"), None),
+    "op_simhash_deduplicate": (lambda s, d: near_duplicates.simhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
     "op_ngramhash_deduplicate": (lambda s, d: near_duplicates.ngramhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
     "op_semantic_deduplicate": (lambda s, d: near_duplicates.semantic_deduplicate(table(s, d, "embeddings"), "embedding", "vec_id").select("vec_id"), None),
     "op_lexical_diversity": (lambda s, d: scores.lexical_diversity(_docs(s, d).select("doc_id", "text"), "text").drop("text"), None),

@@ -99,8 +99,9 @@ def test_leader_links_connect_what_brute_force_connects(spark):
 
     v = [0, 2, 4, 100, 102] + list(range(7, 95, 11))  # 1 and 2 are like each other; only 1 is like the leader 0
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id bigint, sketch bigint")
-    got = nd.group_links(nd.leader_links(df.select("id", F.lit(1).alias("bucket")), df, lambda a, b: F.abs(a - b) <= 2)).collect()
-    assert {(r.node, r.component) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+    for small in (False, True):
+        got = nd.group_links(nd.leader_links(df.select("id", F.lit(1).alias("bucket")), df, lambda a, b: F.abs(a - b) <= 2, small)).collect()
+        assert {(r.node, r.component) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
 
 
 def test_registered_queries_do_the_whole_job(spark):
