@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,5 +42,20 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once: a name inside a lambda would be worked out again wherever it stands."""
+    return F.transform(F.array(value), f)[0]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The runs of n tokens, joined by spaces; none for fewer than n."""
+    def runs(t: Column) -> Column:
+        last = F.size(t) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
+
+
+def char_ngrams(text: Column, n: int) -> Column:
+    """The runs of n characters; none for fewer than n."""
+    return let(F.split(text, ""), lambda t: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), ""))).otherwise(F.array().cast("array<string>")))

@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import SPACE, WORD, count, lines, n_words, ngrams, nz, ratio, strip, words
+from siltworks.functions.text import SPACE, WORD, char_ngrams, count, let, lines, n_words, ngrams, nz, ratio, strip, words
 from siltworks.registry import register
 from siltworks.runtime import forbid, require
 
 #: Entities, bullets, identity terms, special characters, English stop words.
 ENTITIES = ("nbsp", "lt", "gt", "amp", "quot", "apos", "hellip", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo")
 BULLETS = "\u2022\u2023\u25b6\u25c0\u25e6\u25a0\u25a1\u25aa\u25ab\u2013"
-IDENTITY = r"(?i)(身\s{0,10}份|id\s{0,10}number\s{0,10}|identification|identity|\s{0,10}id\s{0,10}no\s{0,10}|id\s{0,10}card\s{0,10}|nric\s{0,10}number\s{0,10}|ic\s{0,10}number\s{0,10}|resident\s{0,10}registration\s{0,10}|i\.d\.\s{0,10}number\s{0,10})"
+IDENTITY = r"(?i)(身\s{0,10}份|id\s{0,10}number\s{0,10}|identification|identity|\s{0,10}id\s{0,10}no\s{0,10}|id\s{0,10}card\s{0,10}|nric\s{0,10}number\s{0,10}|ic\s{0,10}number\s{0,10}|resident\s{0,10}registration\s{0,10}|i.d.\s{0,10}number\s{0,10})"
 SPECIAL = r"u200e|&#247;|\? :|[�□]|\{/U\}|U\+26[0-F][0-D]|U\+273[3-4]|U\+1F[3-6][0-4][0-F]|U\+1F6[8-F][0-F]"
 SEGMENT = "[–.!?,;•/|…]"
 STOPWORDS = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn".split()
@@ -194,17 +194,24 @@ def word_number_filter(df: DataFrame, input_key: str, output_key: str = "word_nu
     return df.withColumn(output_key, n_words(input_key)).filter((n >= min_words) & (n < max_words))
 
 
-def ngram_score(c: Column, n: int = 5) -> Column:
-    """Share of different n-grams of the words, without punctuation and case; 0 for fewer than n words."""
-    t = words(F.regexp_replace(F.lower(nz(c)), f"[^{WORD}{SPACE}]", ""))
-    g = ngrams(t, n)
-    return F.when(F.size(t) < n, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g))
+def ngram_score(c: Column, n: int = 5, by_word: bool = True) -> Column:
+    """Share of different n-grams of the words (or characters), without punctuation and case; 0 where there is none."""
+    plain = F.regexp_replace(F.lower(nz(c)), f"[^{WORD}{SPACE}]", "")
+    grams = ngrams(words(plain), n) if by_word else char_ngrams(plain, n)
+    return let(grams, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g)))
 
 
-@register("ngram_filter")
-def ngram_filter(df: DataFrame, input_key: str, output_key: str = "NgramScore", min_score: float = 0.8, max_score: float = 1.0, ngrams: int = 5) -> DataFrame:
+@register("ngram_sample_evaluator")
+def ngram_evaluator(df: DataFrame, input_key: str, output_key: str = "NgramScore", ngrams: int = 5, by_word: bool = True) -> DataFrame:
+    """df with the share of different n-grams."""
     require(df, input_key)
-    return df.withColumn(output_key, ngram_score(F.col(input_key), ngrams)).filter(F.col(output_key).between(min_score, max_score))
+    return df.withColumn(output_key, ngram_score(F.col(input_key), ngrams, by_word))
+
+
+@register("ngram_filter")
+def ngram_filter(df: DataFrame, input_key: str, output_key: str = "NgramScore", min_score: float = 0.8, max_score: float = 1.0, ngrams: int = 5, by_word: bool = True) -> DataFrame:
+    """Rows whose share of different n-grams lies within both bounds."""
+    return ngram_evaluator(df, input_key, output_key, ngrams, by_word).filter(F.col(output_key).between(min_score, max_score))
 
 
 @register("general_filter")
