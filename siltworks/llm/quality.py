@@ -1,7 +1,8 @@
 """Problem 10: text statistics of each document, and the documents that aren't natural prose.
 
-Every statistic is a native expression over arrays of blocks (split at blank lines) and lines; no row is exploded, so
-there is no shuffle. Null and empty texts have counts of 0 and null ratios.
+Features are counted for all texts of an Arrow batch at once, in arrays over their characters (classes from a table, counts
+between line borders from running sums, words by rolling hashes); what is learned from them is applied natively. There is no
+shuffle. Null and empty texts have counts of 0 and null ratios.
 
 Method: an ordered rule list, induced by incremental reduced-error pruning (grow a rule by FOIL gain on two thirds of
 the examples, prune it on the rest, of several such splits keep the best rule, stop when pruned rules are right in less than nine of ten cases) on the lines of labelled
@@ -14,83 +15,212 @@ that aren't prose, and has the kind most of these are of. Fenced code counts as
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltworks.runtime import require, spread, table
 
 TRAIN_DOCS = 6000
+#: Characters that are worked on at once.
+PART_CHARS = 500_000
 KINDS = ("table", "list", "junk")
 FEATURES = ("words", "common", "sents", "pipes", "tabs", "semis", "commas", "gaps", "tags", "marker", "awl", "symbols", "digits", "cjk", "cells", "odd", "b_lines", "b_wpl", "b_common", "b_sents", "b_rep", "b_long", "b_sep")
-_BREAK = r"\r\n|[\r\n\u0085  \u000b\u000c]"
-_CJK = "[぀-ヿ㐀-鿿]"
-_SENT = "(?:[.!?…]+|_{2})[\"'”»)\\]]*(?=\\s|$)|[。！？]"
-_MARK = r"^\s*(?:[-*+•◦‣▪·–—]\s|\[[ xX]\]|\(?[0-9a-zA-Z]{1,3}[.)]\s|\d+(?:\.\d+)+\s)"
-
-
-def _words(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), r"[\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000]+"), lambda w: F.length(w) > 0)
-
-
-def _count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
-
-
+_BREAK = r"\r\n|[\r\n\u0085  \u000b\u000c]"
+_FENCE = re.compile(r"(?:^|\n)[^\S\n]*```.*?(?:\n[^\S\n]*```[^\n]*|$)", re.S)
+_MARK = re.compile(r"(?:[-*+•◦‣▪·–—][^\S\n]|\[[ xX]\]|\(?[0-9a-zA-Z]{1,3}[.)][^\S\n]|\d+(?:\.\d+)+[^\S\n])")
+_TAGS = re.compile(r"(?i)</?(?:table|t[rdh]|tbody|thead)\b")
 #: What is cut from the ends of a word before it is looked up.
 _PUNCTUATION = ".,;:!?…\"'“”‘’«»()[]{}<>|/\\*_=#&~+-–—•◦·%$@^`。，、；：？！（）「」『』"
+#: Characters that texts in a wrong encoding are full of.
+_ODD = [*range(0x80, 0xA0), *range(0xA2, 0xA7), 0xA8, 0xA9, *range(0xAC, 0xB0), *range(0xB1, 0xB7), 0xB8, 0xB9, *range(0xBC, 0xBF), *map(ord, "ÃÂâ€�")]
+#: Classes of characters, a bit each.
+_NL, _WS, _CJK, _PIPE, _TAB, _SEMI, _COMMA, _SYMBOL, _DIGIT, _ODDITY, _STOP, _CLOSE, _PUNCT, _FULL = (1 << k for k in range(14))
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(classes, mixed lower case) of each code point."""
+    kinds = np.zeros(0x110000, np.uint16)
+    lower = np.arange(0x110000, dtype=np.uint64)
+    for c in range(0x110000):
+        if 0xD800 <= c < 0xE000 or 0x30000 <= c < 0xE0000 or c >= 0xF0000:
+            continue
+        x = chr(c)
+        if x.isspace():
+            kinds[c] |= _WS
+        elif not unicodedata.category(x).startswith(("L", "N")):
+            kinds[c] |= _SYMBOL
+        if x != (y := x.lower()) and len(y) == 1:
+            lower[c] = ord(y)
+    for chars, bit in (("\n\r\x85\u2028\u2029\x0b\x0c", _NL | _WS), ("|│", _PIPE), ("\t", _TAB), (";", _SEMI), (",", _COMMA), ("0123456789", _DIGIT), (".!?…", _STOP), ("\"'”»)]", _CLOSE), (_PUNCTUATION, _PUNCT), ("。！？", _FULL)):
+        for x in chars:
+            kinds[ord(x)] |= bit
+    kinds[0x3040:0x3100] |= _CJK
+    kinds[0x3400:0xA000] |= _CJK
+    kinds[_ODD] |= _ODDITY
+    with np.errstate(over="ignore"):
+        mixed = (lower + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return kinds, mixed
+
+
+_BASE = 0x5851F42D4C957F2D
+_INVERSE = pow(_BASE, -1, 2**64)
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (_BASE, _INVERSE))
+
+
+def _running(mask: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(mask) + 1, np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
 
 
-def _prepare(line: Column) -> Column:
-    """What several features need, worked out once a line."""
-    words = _words(line)
-    return F.struct(line.alias("t"), F.transform(words, lambda w: F.btrim(w, F.lit(_PUNCTUATION))).alias("w"), _count(line, _CJK).alias("cjk"), F.greatest(F.length(F.regexp_replace(line, r"\s", "")), F.lit(1)).alias("size"))
-
-
-def _line(x: Column, common: list[str], common_cjk: str) -> Column:
-    line, words, cjk, size = x["t"], x["w"], x["cjk"], x["size"]
-    n = F.greatest(F.size(words), F.lit(1))
-    is_cjk = cjk * 4 > size
-    frac = F.when(is_cjk, _count(line, common_cjk) / F.greatest(cjk, F.lit(1))).otherwise(F.size(F.filter(words, lambda w: w.isin(common))) / n)
-    return F.struct(
-        F.length(F.trim(line)).alias("chars"), F.when(is_cjk, cjk / 2.0).otherwise(F.size(words).cast("double")).alias("words"), frac.alias("common"),
-        _count(line, _SENT).alias("sents"), _count(line, r"[|│]").alias("pipes"), _count(line, r"\t").alias("tabs"), _count(line, ";").alias("semis"),
-        _count(line, r",(?! )").alias("commas"), _count(F.trim(line), r"\S {2,}(?=\S)").alias("gaps"), _count(line, r"(?i)</?(?:table|t[rdh]|tbody|thead)\b").alias("tags"), line.rlike(_MARK).cast("int").alias("marker"),
-        (size / n).alias("awl"), (_count(line, r"[^\p{L}\p{N}\s]") / size).alias("symbols"), (_count(line, r"\d") / size).alias("digits"), is_cjk.cast("int").alias("cjk"), (F.size(F.filter(words, lambda w: F.length(w) > 0)) / n).alias("cells"), (_count(line, "[\u0080-\u009f¢-¦¨©¬-¯±-¶¸¹¼-¾ÃÂâ€�]") / size).alias("odd"), words.alias("w"))
-
-
-def _blocks(text: Column, common: list[str], common_cjk: str) -> Column:
-    """An array of blocks, each an array of its lines' features."""
-    plain = F.regexp_replace(text, r"(?s)(?:^|\n)\s*```.*?(?:\n\s*```[^\n]*|$)", "\n\n")
-    blocks = F.split(F.regexp_replace(plain, _BREAK, "\n"), r"\n[\s\u00a0\u3000]*\n")
-    lines = lambda b: F.transform(F.transform(F.filter(F.split(b, "\n"), lambda x: F.length(F.trim(x)) > 0), _prepare), lambda x: _line(x, common, common_cjk))
-    return F.filter(F.transform(blocks, lines), lambda b: F.size(b) > 0)
-
-
-def _total(lines: Column, f) -> Column:
-    return F.aggregate(lines, F.lit(0.0), lambda a, x: a + f(x).cast("double"))
-
-
-def line_features(df: DataFrame, common: list[str], common_cjk: str, text: str = "text") -> DataFrame:
-    """df with `lines`: an array of structs of FEATURES and chars."""
-    mine = ("words", "common", "sents", "pipes", "tabs", "semis", "commas", "gaps", "tags", "marker", "awl", "symbols", "digits", "cjk", "cells", "odd", "chars")
+def _hashes(mixed: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of mixed characters that doesn't depend on its place."""
+    up, down = _powers(1 << max(16, (len(mixed) + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(mixed) + 1, np.uint64)
+        np.cumsum(mixed * up[: len(mixed)], out=total[1:])
+        return (total[end] - total[start]) * down[start]
+
+
+def _hashes_of(words: list[str]) -> np.ndarray:
+    mixed = _tables()[1]
+    return np.array([_hashes(mixed[[ord(c) for c in w]], np.array([0]), np.array([len(w)]))[0] for w in words if w], np.uint64)
+
+
+def text_features(texts: list[str | None], own: np.ndarray, cjk: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lines x FEATURES and chars, text of each line, characters of each text's lines in all).
+
+    own: hashes of the common words; cjk: the common words of languages without spaces.
+    """
+    whole = np.zeros(len(texts))
+    plain = []
+    for i, t in enumerate(texts):
+        t = (t or "").replace("\r\n", "\n")
+        if "```" in t:
+            whole[i] = sum(len(x.strip()) for x in re.split(_BREAK, t))
+            t = _FENCE.sub("\n\n", t)
+        plain.append(t)
+    joined = "\n\n".join(plain) + "\n"
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, mixed = _tables()
+    k = kinds[code]
+    size = len(code)
+    space, ends = (k & _WS) > 0, np.flatnonzero(k & _NL)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    text_at = np.cumsum([0] + [len(t) + 2 for t in plain[:-1]])
+    full = _running(~space)
+    some = full[ends] > full[starts]
+    # a block ends at each blank line, and texts are parted by blank lines
+    block = np.cumsum(~some)[some]
+    starts, ends = starts[some], ends[some]
+    of = np.searchsorted(text_at, starts, "right") - 1
+    n = len(starts)
+    if not n:
+        return np.zeros((0, len(FEATURES) + 1), np.float32), of, np.maximum(whole, 1)
+    block = np.cumsum(np.concatenate([[False], (block[1:] != block[:-1]) | (of[1:] != of[:-1])]))
+    count = lambda mask: (p := _running(mask))[ends] - p[starts]
+    bit = lambda b: count((k & b) > 0)
+    at = np.arange(size)
+    solid = np.flatnonzero(~space)
+    first, last = solid[full[starts]], solid[full[ends] - 1]
+    chars, filled = last - first + 1, full[ends] - full[starts]
+    n_cjk = bit(_CJK)
+    is_cjk = n_cjk * 4 > filled
+
+    # words, without the punctuation at their ends
+    before = np.concatenate([[True], space[:-1]])
+    w0 = np.flatnonzero(~space & before)
+    w1 = np.flatnonzero(space & ~before)
+    line_of = np.searchsorted(starts, w0, "right") - 1
+    inner = (k & _PUNCT) == 0
+    head = np.minimum.accumulate(np.where(inner, at, size)[::-1])[::-1]
+    tail = np.maximum.accumulate(np.where(inner, at, -1))
+    a, z = head[w0], tail[w1 - 1] + 1
+    kept = (a < w1) & (z > a)
+    h = _hashes(mixed[code], np.where(kept, a, 0), np.where(kept, z, 0))
+    n_words = np.bincount(line_of, minlength=n)
+    n_kept = np.bincount(line_of, kept, minlength=n)
+    n_common = np.bincount(line_of, kept & np.isin(h, own), minlength=n)
+    common = n_common / np.maximum(n_words, 1)
+    for i in np.flatnonzero(is_cjk).tolist():
+        common[i] = len(cjk.findall(joined, starts[i], ends[i])) / max(1, n_cjk[i])
+
+    # ends of sentences: marks, then closing signs, then white space
+    open_ = np.maximum.accumulate(np.where((k & _CLOSE) == 0, at, -1))
+    low = code == 95
+    mark = ((k & _STOP) > 0) | (low & np.concatenate([[False], low[:-1]]))
+    j = open_[w1 - 1]
+    done = np.bincount(line_of, (j >= w0) & mark[np.maximum(j, 0)], minlength=n) + bit(_FULL)
+
+    blank = code == 32
+    solid_at = np.maximum.accumulate(np.where(~blank, at, -1))
+    follow = np.concatenate([~space[1:], [False]])
+    wide = blank & np.concatenate([[False], blank[:-1]]) & follow & (solid_at >= 0) & ~space[np.maximum(solid_at, 0)]
+    tags = np.zeros(n)
+    if "<" in joined:
+        for m in _TAGS.finditer(joined):
+            tags[np.searchsorted(starts, m.start(), "right") - 1] += 1
+    marker = np.fromiter((_MARK.match(joined, i) is not None for i in first.tolist()), bool, n)
+    comma = ((k & _COMMA) > 0) & np.concatenate([~blank[1:], [True]])
+    f = dict(
+        words=np.where(is_cjk, n_cjk / 2, n_words), common=common, sents=done, pipes=bit(_PIPE), tabs=bit(_TAB), semis=bit(_SEMI), commas=count(comma), gaps=count(wide), tags=tags, marker=marker,
+        awl=filled / np.maximum(n_words, 1), symbols=bit(_SYMBOL) / filled, digits=bit(_DIGIT) / filled, cjk=is_cjk, cells=n_kept / np.maximum(n_words, 1), odd=bit(_ODDITY) / filled)
+
+    # what a block has as a whole
+    lines_in = np.bincount(block)
+    total = lambda x: np.bincount(block, x)
+    wb = block[line_of]
+    order = np.lexsort((h, wb))
+    hs, bs = np.where(kept, h, 0)[order], wb[order]
+    new = np.concatenate([[True], (hs[1:] != hs[:-1]) | (bs[1:] != bs[:-1])])
+    different = np.bincount(bs, new, minlength=len(lines_in))
+    longest = np.zeros(len(lines_in))
+    np.maximum.at(longest, block, f["words"])
+    apart = np.maximum.reduce([f["pipes"], f["tabs"], f["semis"], f["commas"], f["gaps"], f["tags"]]) > 0
+    g = dict(b_lines=lines_in, b_wpl=total(f["words"]) / lines_in, b_common=total(common * chars) / total(chars), b_sents=total(done) / lines_in, b_rep=different / np.maximum(np.bincount(wb, minlength=len(lines_in)), 1), b_long=longest, b_sep=total(apart) / lines_in)
+    whole = np.where(whole > 0, whole, np.bincount(of, chars, minlength=len(texts)))
+    return np.stack([*(f[x] if x in f else g[x][block] for x in FEATURES), chars], axis=1).astype(np.float32), of, np.maximum(whole, 1)
+
+
+def line_features(df: DataFrame, common: dict[str, list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_chars, lines, whole) of each row: lines is an array of structs of FEATURES and chars, whole the characters of all lines."""
+    own, cjk = _vocabulary(common)
+    words, names = _hashes_of(own), (*FEATURES, "chars")
+    kind = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_chars", T.LongType()), T.StructField("lines", T.ArrayType(T.StructType([T.StructField(x, T.FloatType()) for x in names]))), T.StructField("whole", T.DoubleType())])
 
-    def whole(ls: Column) -> Column:
-        """A block's own features, worked out once a block."""
-        n = F.size(ls)
-        words = F.flatten(F.transform(ls, lambda x: x["w"]))
-        chars = F.greatest(_total(ls, lambda x: x["chars"]), F.lit(1.0))
-        return F.struct(
-            ls.alias("ls"), n.alias("b_lines"), (_total(ls, lambda x: x["words"]) / n).alias("b_wpl"), (_total(ls, lambda x: x["common"] * x["chars"]) / chars).alias("b_common"), (_total(ls, lambda x: x["sents"]) / n).alias("b_sents"),
-            (F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))).alias("b_rep"), F.array_max(F.transform(ls, lambda x: x["words"])).alias("b_long"),
-            (_total(ls, lambda x: (F.greatest(x["pipes"], x["tabs"], x["semis"], x["commas"], x["gaps"], x["tags"]) > 0).cast("int")) / n).alias("b_sep"))
+    def see(texts: list[str | None], own_cjk: re.Pattern) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x, of, whole = text_features(texts, words, own_cjk)
+        return x, np.bincount(of, minlength=len(texts)), whole
 
-    def widen(b: Column) -> Column:
-        return F.transform(b["ls"], lambda x: F.struct(*[x[c].cast("double").alias(c) for c in mine], *[b[k].cast("double").alias(k) for k in FEATURES[-7:]]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cjk = re.compile(cjk)
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            held = np.cumsum([len(t or "") for t in texts])
+            # arrays over about PART_CHARS characters stay in the processor's cache; a text is never divided
+            parts = np.flatnonzero(np.diff(held // PART_CHARS, prepend=-1))
+            got = [see(texts[i:j], own_cjk) for i, j in zip(parts, [*parts[1:], len(texts)])]
+            x = np.concatenate([g[0] for g in got]) if got else np.zeros((0, len(names)), np.float32)
+            offsets = np.concatenate([np.zeros(1, np.int32), np.cumsum(np.concatenate([g[1] for g in got]), dtype=np.int32)]) if got else np.zeros(1, np.int32)
+            rows = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in x.T], names=list(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or "") for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), rows), pa.array(np.concatenate([g[2] for g in got]) if got else [], pa.float64())], names=[key, "n_chars", "lines", "whole"])
 
-    return df.withColumn("_b", _blocks(F.col(text), common, common_cjk)).withColumn("lines", F.flatten(F.transform(F.transform("_b", whole), widen))).drop("_b")
+    return spread(df.select(key, text)).mapInArrow(run, kind)
 
 
 # --- labelled documents
@@ -304,19 +434,16 @@ def as_case(rules: list[tuple[Rule, str]], alias: str = "x") -> str:
 
 @lru_cache(maxsize=4)
 def _learned(words: tuple[tuple[str, tuple[str, ...]], ...], n: int) -> str:
-    spark = SparkSession.getActiveSession()
     common = {k: list(v) for k, v in words}
     docs = labelled_documents(common, n)
-    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(docs)], "i int, text string, kind string").repartition(8)
-    rows = line_features(df, *_vocabulary(common)).select("i", "kind", F.explode("lines").alias("x")).select("i", "kind", "x.*").toPandas().sort_values("i", kind="stable")
+    own, cjk = _vocabulary(common)
+    x, of, _ = text_features([t for t, _ in docs], _hashes_of(own), re.compile(cjk))
     # each document has the weight 1, shared by its lines
-    w = 1.0 / rows.groupby("i")["i"].transform("count").to_numpy()
-    return as_case(induce(rows[list(FEATURES)].to_numpy(float), rows["kind"].tolist(), w))
+    w = 1.0 / np.bincount(of, minlength=len(docs))[of]
+    return as_case(induce(x[:, : len(FEATURES)].astype(float), [docs[i][1] for i in of], w))
 
 
 def _vocabulary(common: dict[str, list[str]]) -> tuple[list[str], str]:
-    import re
-
     own = sorted({w for k, v in common.items() if k not in ("zh", "ja") for w in v})
     cjk = sorted({w for k, v in common.items() if k in ("zh", "ja") for w in v}, key=lambda w: (-len(w), w))
     return own or ["the"], "|".join(map(re.escape, cjk)) or "的"
@@ -341,18 +468,20 @@ def classify(df: DataFrame, common: dict[str, list[str]], key: str = "doc_id", t
     """(key, n_chars, list_share, table_share, junk_share, kind) of each row; kind is null for prose and for texts under `least` characters."""
     require(df, key, text)
     case = rule_list(common)
-    base = line_features(spread(df.select(key, F.col(text).alias("text"))), *_vocabulary(common))
-    base = base.withColumn("_k", F.expr(f"transform(lines, x -> struct({case} AS kind, x.chars AS chars))"))
     # what isn't in a line of its own (fenced code) counts in the whole, not in a kind
-    whole = F.greatest(_total(F.filter(F.split(F.regexp_replace("text", _BREAK, "\n"), "\n"), lambda x: F.length(F.trim(x)) > 0), lambda x: F.length(F.trim(x))), F.lit(1.0))
-    of = lambda k: _total(F.filter("_k", lambda x: x["kind"] == k), lambda x: x["chars"])
-    share = {k: (of(k) / F.col("_all")).alias(f"{k}_share") for k in KINDS}
-    got = base.withColumn("_all", whole).select(key, F.coalesce(F.length("text"), F.lit(0)).alias("n_chars"), *share.values())
-    t, l, j = (F.coalesce(F.col(f"{k}_share"), F.lit(0.0)) for k in KINDS)
+    kinds = F.expr(f"transform(lines, x -> struct({case} AS kind, CAST(x.chars AS DOUBLE) AS chars))")
+    base = line_features(df, common, key, text).select(key, "n_chars", "whole", kinds.alias("_k"))
+    of = lambda k: F.aggregate(F.filter("_k", lambda x: x["kind"] == k), F.lit(0.0), lambda a, x: a + x["chars"])
+    got = base.select(key, "n_chars", *[(of(k) / F.col("whole")).alias(f"{k}_share") for k in KINDS])
+    t, l, j = (F.col(f"{k}_share") for k in KINDS)
     kind = F.when((F.col("n_chars") < least) | (t + l + j <= 0.5), None).when((t >= l) & (t >= j), "table").when(l >= j, "list").otherwise("junk")
     return got.withColumn("kind", kind)
 
 
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern))
+
+
 def statistics(df: DataFrame, common: dict[str, list[str]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics of each row, all native. Words are runs without white space; shares of nothing are null."""
     require(df, key, text)
