@@ -3,7 +3,9 @@
 Method: the response is cut into clauses (sentences, list items, code blocks, section marks); a linear-chain conditional
 random field tags each as answer, refusal, echo, foreign or unfinished; the tags' coverage of the response gives the
 pair's defect. The field is fitted by gradient ascent on the likelihood of `TRAIN_PAIRS` made pairs (a fixed bound), from
-the common words of the languages and invented words; its features are stated in FEATURES. A response without a clause that
+the common words of the languages and invented words; its features are stated in FEATURES. A made response is put together from
+pieces, each made as an answer, a refusal, an echo, foreign or unfinished text, and a clause has the tag of the piece that it begins in,
+whatever its features say. A response without a clause that
 could answer is `empty` before any tagging. A pair has the first that holds of: empty, refusal (the response opens with
 refusing clauses, or they cover half of it), copied (nothing but echo), other_language (more than half foreign), truncated
 (its last clause is unfinished).
@@ -30,7 +32,7 @@ from siltworks.runtime import require, spread, table
 
 TRAIN_PAIRS = 3000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
-FEATURES = ("bias", "refuses", "courtesy", "echo", "foreign", "last", "last_open", "last_bare", "last_dangling", "item", "code", "short", "first", "only")
+FEATURES = ("bias", "refuses", "courtesy", "echo", "foreign", "last", "last_open", "last_bare", "last_dangling", "item", "code", "short", "first", "only", "echo_part", "denies", "speaks", "unknown", "ended", "after_code", "closed", "last_item")
 DEFECTS = ("empty", "refusal", "copied", "other_language", "truncated")
 
 #: How a responder declines, by language.
@@ -55,14 +57,25 @@ LANGUAGES = {
 #: Stand-ins for no answer.
 STAND_INS = frozenset(("null", "nil", "n/a", "na", "todo", "tbd", "undefined", "nan", "output", "answer", "response", "result", "solution", "antwort", "respuesta", "resposta", "réponse", "ответ", "回答", "答案", "答え"))
 
-_REFUSE = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()), re.I)
+#: Words of denying and of speaking of oneself, by which the field weighs clauses that no known form of declining matches.
+DENIALS = frozenset("not no never none cannot unable nothing nicht kein keine keinen nie ne pas jamais nunca não не нет нельзя decline refuse".split())
+SELVES = frozenset("i i'm i'd i've i'll me my we our ich mir mein meine je mon moi yo mi eu meu я мне меня мы".split())
+CJK_DENIALS, CJK_SELVES = re.compile("[不无没未]|ません|できない"), re.compile("[我私]")
+
+_BY_SCRIPT = {"cjk": re.compile("|".join(REFUSALS[k] for k in ("zh", "ja"))), "cyrillic": re.compile(REFUSALS["ru"], re.I), "latin": re.compile("|".join(f"(?:{REFUSALS[k]})" for k in ("en", "de", "fr", "es", "pt")), re.I)}
+#: One of these is part of each courtesy, and one of the others of each form of declining.
+_POLITE = ("sorry", "apolog", "fortunately", "regrettably", "as an ai", "language model", "honest", "thanks", "i hope", "let us talk", "please ask", "anything else", "leider", "tut mir leid", "als sprachmodell", "désolé", "malheureusement", "modèle", "lo siento", "lamento", "afortunadamente", "modelo", "infelizmente", "desculp", "извините", "к сожалению", "языковая", "простите", "抱歉", "遗憾", "对不起", "模型", "申し訳", "残念", "モデル")
+_HINTS = ("n't", "not", "won", "cant ", "decline", "against", "no answer", "leave this", "nicht", "lehne", "ablehnen", "ne ", "pas", "préfère", "souhaite", "refuser", "décliner", "no ", "prefiero", "rechazar", "declinar", "não", "prefiro", "recusar", "не", "предп", "отказ", "нельзя", "无法", "不", "没办法", "拒绝", "ません", "かねます", "控え", "出来", "お断り")
 _IDIOM, _COURTESY = re.compile(IDIOMS, re.I), re.compile(COURTESIES, re.I)
 _NAMES = {k: re.compile(rf"(?<!\w)(?:{p})(?!\w)" if k not in ("zh", "ja") else p, re.I) for k, p in LANGUAGES.items()}
+_ANY_NAME = re.compile("|".join(LANGUAGES.values()), re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _HAN, _KANA, _CYR = re.compile("[㐀-鿿]"), re.compile("[぀-ヿ]"), re.compile("[Ѐ-ӿ]")
 _TAG = re.compile(r"^\s*\[(/?)([A-Z][A-Z_ ]{1,20})\]\s*$", re.M)
+_BREAK_END = re.compile(r"<br\s*/?>$", re.I)
+_CLOSED = re.compile(r"\[/[A-Z][A-Z_ ]{1,20}\]\s*$")
 _ITEM = re.compile(r"^\s*(?:[-*+•◦]|\(?\w{1,3}[.)]|\[[ xX]\])\s+\S")
-_SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])[」』”]*\s*|\n+")
+_SPLIT = re.compile(r"(?<=[.!?…])[\"'”»)\]]*\s+|(?<=[。！？])[」』”]*\s*")
 _END = re.compile(r"[.!?。！？…:;：]['\"”’»)\]」』*_`]*$")
 _FENCE = re.compile(r"```[^\n]*\n?(.*?)(?:```|\Z)", re.S)
 _INVISIBLE = re.compile(r"[​-‏‪-‮⁠-⁤﻿­]")
@@ -79,30 +92,46 @@ class Languages:
             for w in words:
                 self.of.setdefault(w, []).append(lang)
 
-    def __call__(self, text: str) -> str | None:
-        han, kana, cyr = (len(p.findall(text)) for p in (_HAN, _KANA, _CYR))
-        words = _WORD.findall(text.lower())
-        letters = sum(map(len, words))
+    def votes(self, text: str, words: list[str]) -> tuple[int, int, int, int, int, dict[str, float]]:
+        """(Han, kana, Cyrillic, letters, words, votes of the languages' common words); those of a whole are the sums of its parts."""
+        han = kana = cyr = 0
+        if not text.isascii():
+            han, kana, cyr = (len(p.findall(text)) for p in (_HAN, _KANA, _CYR))
+        votes: dict[str, float] = {}
+        get = self.of.get
+        for w in words:
+            if own := get(w):
+                for lang in own:
+                    votes[lang] = votes.get(lang, 0) + 1 / len(own)
+        return han, kana, cyr, sum(map(len, words)), len(words), votes
+
+    def decide(self, parts: list[tuple[int, int, int, int, int, dict[str, float]]]) -> str | None:
+        han, kana, cyr, letters, n = parts[0][:5] if len(parts) == 1 else (sum(p[i] for p in parts) for i in range(5))
         if han + kana > letters * 0.4:
             return "ja" if kana > 0.05 * (han + kana) else "zh"
         if cyr > letters * 0.5:
             return "ru"
         votes: dict[str, float] = {}
-        for w in words:
-            for lang in (own := self.of.get(w, ())):
-                votes[lang] = votes.get(lang, 0) + 1 / len(own)
+        for p in parts:
+            for k, v in p[5].items():
+                votes[k] = votes.get(k, 0) + v
         if not votes:
             return None
-        best = max(sorted(votes), key=votes.get)
-        second = max((v for k, v in votes.items() if k != best), default=0)
-        return best if votes[best] >= 1 and votes[best] > second * 1.15 and votes[best] >= 0.08 * len(words) else None
+        if len(votes) == 1:
+            best, second = next(iter(votes)), 0
+        else:
+            second, best = sorted(votes.values())[-2], max(sorted(votes), key=votes.get)
+        return best if votes[best] >= 1 and votes[best] > second * 1.15 and votes[best] >= 0.08 * n else None
+
+    def __call__(self, text: str) -> str | None:
+        return self.decide([self.votes(text, _WORD.findall(text.lower()))])
 
     def is_common(self, word: str) -> bool:
         return word in self.of
 
 
 def _tight(text: str) -> str:
-    return _TIGHT.sub("", unicodedata.normalize("NFKC", text).casefold())
+    return _TIGHT.sub("", text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold())
 
 
 def clauses(text: str) -> list[tuple[str, str, bool]]:
@@ -113,12 +142,20 @@ def clauses(text: str) -> list[tuple[str, str, bool]]:
         opened = m[2] if not m[1] else None if opened == m[2] else opened
     plain = _TAG.sub("\n", text)
     at = 0
+
+    def prose(part: str) -> None:
+        for line in part.split("\n"):
+            if _ITEM.match(line):
+                out.append((line, "item", False))
+            else:
+                out.extend((c, "text", False) for c in _SPLIT.split(line) if c and c.strip())
+
     for m in _FENCE.finditer(plain):
-        out += [(c, "item" if _ITEM.match(c) else "text", False) for c in _SPLIT.split(plain[at : m.start()]) if c and c.strip()]
+        prose(plain[at : m.start()])
         if m[1].strip() or not m[0].endswith("```"):
             out.append((m[1].strip(), "code", not (m[0].endswith("```") and len(m[0]) > 3)))
         at = m.end()
-    out += [(c, "item" if _ITEM.match(c) else "text", False) for c in _SPLIT.split(plain[at:]) if c and c.strip()]
+    prose(plain[at:])
     if opened and out:
         out[-1] = (*out[-1][:2], True)
     return out
@@ -128,38 +165,55 @@ def blank(text: str | None) -> bool:
     """Whether nothing is there that could answer."""
     if text is None:
         return True
-    t = _INVISIBLE.sub("", _MARKUP.sub(" ", _TAG.sub(" ", re.sub(r"```\w*", " ", text))))
+    t = re.sub(r"```\w*", " ", text) if "```" in text else text
+    t = _TAG.sub(" ", t) if "[" in t else t
+    t = _MARKUP.sub(" ", t) if "<" in t or "&" in t else t
+    t = t if t.isascii() else _INVISIBLE.sub("", t)
     t = t.strip().strip("\"'`*_:#-=>").strip()
     return not any(c.isalnum() for c in t) or t.lower() in STAND_INS
 
 
 def features(prompt: str, output: str, langs: Languages) -> tuple[np.ndarray, list[int]]:
     """(clauses x FEATURES, clause lengths)."""
-    text = _INVISIBLE.sub("", output)
-    text = re.sub(r"(?:\s|<br\s*/?>| )+$", "", text.replace("\r\n", "\n"))
+    text = (output if output.isascii() else _INVISIBLE.sub("", output)).replace("\r\n", "\n").rstrip()
+    while text.endswith(">") and (m := _BREAK_END.search(text, max(0, len(text) - 12))):
+        text = text[: m.start()].rstrip()
     parts = clauses(text)
     tight = _tight(prompt)
     grams = {tight[i : i + 4] for i in range(max(1, len(tight) - 3))}
-    named = {k for k, p in _NAMES.items() if p.search(prompt)}
+    named = {k for k, p in _NAMES.items() if p.search(prompt)} if _ANY_NAME.search(prompt) else set()
     own = langs(prompt)
     allowed = named | ({own} if own else set())
-    whole = langs(" ".join(c for c, k, _ in parts if k == "text"))
+    found = [_WORD.findall(c) for c, _, _ in parts]
+    lower = [[w.lower() for w in ws] for ws in found]
+    votes = [langs.votes(c, ws) if k == "text" else None for (c, k, _), ws in zip(parts, lower)]
+    whole = langs.decide([v for v in votes if v])
+    closed = bool(_CLOSED.search(text))
     rows, sizes = [], []
     for i, (c, kind, is_open) in enumerate(parts):
         t = _tight(c)
-        mine = {t[j : j + 4] for j in range(max(1, len(t) - 3))}
-        echo = len(mine & grams) / len(mine) if t and tight else 0.0
-        words = _WORD.findall(c)
-        size = len(words) if not (_HAN.search(c) or _KANA.search(c)) else len(t) // 2
-        lang = langs(c) if kind == "text" else None
-        foreign = kind == "text" and bool(allowed) and (lang or whole) not in allowed and (lang or whole) is not None and (size >= 5)
+        n = max(1, len(t) - 3)
+        hit = 0
+        if t and tight:
+            hit = int(t == tight) if len(t) < 4 else n if t in tight else sum(map(grams.__contains__, [t[j : j + 4] for j in range(n)]))
+        echo = hit / n
+        words, vote = found[i], votes[i]
+        cjk = vote[0] + vote[1] if vote else 0 if c.isascii() else len(_HAN.findall(c)) + len(_KANA.findall(c))
+        size = len(t) // 2 if cjk else len(words)
+        lang = langs.decide([vote]) if vote else None
+        foreign = vote is not None and bool(allowed) and (lang or whole) not in allowed and (lang or whole) is not None and size >= 5
         last = i == len(parts) - 1
-        ended = bool(_END.search(c.strip())) or kind != "text"
-        dangling = last and kind == "text" and not ended and bool(words) and (c.rstrip().endswith((",", "，", "、", "-", "(")) or langs.is_common(words[-1].lower()) or (size > 2 and (t[-1:] in ("は", "の", "を", "に", "が", "で", "と", "和", "的", "在", "了", "着"))))
-        declines = bool(_REFUSE.search(c)) and not _IDIOM.search(c)
-        rows.append((1.0, float(declines), float(bool(_COURTESY.search(c))), float(echo > 0.85), float(foreign), float(last), float(last and is_open), float(last and not ended and (size > 4 or size > 0 and i > 0 and parts[i - 1][1] == "text" and bool(_END.search(parts[i - 1][0].strip())))), float(dangling), float(kind == "item"), float(kind == "code"), float(size <= 4), float(i == 0), float(len(parts) == 1)))
+        ended = kind != "text" or bool(_END.search(c.strip()))
+        dangling = last and not ended and bool(words) and (c.rstrip().endswith((",", "，", "、", "-", "(")) or langs.is_common(words[-1].lower()) or (size > 2 and (t[-1:] in ("は", "の", "を", "に", "が", "で", "と", "和", "的", "在", "了", "着"))))
+        low = c.lower() if kind != "code" else ""
+        denies = bool(low) and (not DENIALS.isdisjoint(lower[i]) or "n't" in low or bool(cjk and CJK_DENIALS.search(c)))
+        speaks = denies and (not SELVES.isdisjoint(lower[i]) or bool(cjk and CJK_SELVES.search(c)))
+        form = _BY_SCRIPT["cjk" if cjk else "cyrillic" if vote and vote[2] else "latin"]
+        declines = any(h in low for h in _HINTS) and bool(form.search(c)) and not _IDIOM.search(c)
+        bare = last and not ended and (size > 4 or size > 0 and i > 0 and parts[i - 1][1] == "text" and bool(_END.search(parts[i - 1][0].strip())))
+        rows.append((1.0, declines, any(h in low for h in _POLITE) and bool(_COURTESY.search(c)), echo > 0.85, foreign, last, last and is_open, bare, dangling, kind == "item", kind == "code", size <= 4, i == 0, len(parts) == 1, 0.5 < echo <= 0.85, denies, speaks, vote is not None and lang is None, ended, i > 0 and parts[i - 1][1] == "code", last and closed, last and kind == "item"))
         sizes.append(max(1, len(t)))
-    return np.array(rows).reshape(-1, len(FEATURES)), sizes
+    return np.array(rows, dtype=float).reshape(-1, len(FEATURES)), sizes
 
 
 class Field:
@@ -215,8 +269,8 @@ class Field:
         return cls(emit, move)
 
 
-def labelled_pairs(common: dict[str, list[str]], n: int = TRAIN_PAIRS, seed: int = 5) -> Iterator[tuple[str, str, str]]:
-    """(prompt, output, tag of the clauses that aren't answer): made pairs, half of them sound."""
+def labelled_pairs(common: dict[str, list[str]], n: int = TRAIN_PAIRS, seed: int = 5) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """(prompt, pieces of its response as (text, tag)): made pairs, half of them sound. A piece's tag says how it was made."""
     r = random.Random(seed)
     langs = sorted(common)
     cjk = ("zh", "ja")
@@ -231,8 +285,27 @@ def labelled_pairs(common: dict[str, list[str]], n: int = TRAIN_PAIRS, seed: int
         w = [r.choice(common[lang]) if r.random() < 0.35 else made(lang) for _ in range(r.randint(7, 15))]
         return "".join(w) + ("。" if end == "." else "？") if lang in cjk else " ".join(w).capitalize() + end
 
-    declines = {"en": ["I cannot help with that request.", "I have to decline.", "That goes against my guidelines.", "I am not able to provide this."], "de": ["Dabei kann ich nicht helfen."], "fr": ["Je ne peux pas répondre."], "es": ["No puedo ayudar con eso."], "pt": ["Não posso ajudar com isso."], "ru": ["Я не могу помочь с этим."], "zh": ["我无法回答这个问题。"], "ja": ["その質問にはお答えできません。"]}
+    declines = {"en": ["I cannot help with that request.", "I have to decline.", "That goes against my guidelines.", "I am not able to provide this.", "No answer will come from me on this matter.", "This is nothing that I would talk of.", "I must leave this to an expert.", "That is against the rules here."], "de": ["Dabei kann ich nicht helfen.", "Dazu sage ich nichts, das geht nicht."], "fr": ["Je ne peux pas répondre.", "Je préfère ne pas en parler."], "es": ["No puedo ayudar con eso.", "De eso yo no hablo."], "pt": ["Não posso ajudar com isso.", "Disso eu não falo."], "ru": ["Я не могу помочь с этим.", "Об этом я не говорю."], "zh": ["我无法回答这个问题。", "这件事我不谈。"], "ja": ["その質問にはお答えできません。", "この話はできません。"]}
     sorry = {"en": ["Sorry, ", "As an AI language model, ", ""], "zh": ["抱歉，", ""], "de": ["Leider: ", ""]}
+    names = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "pt": "Portuguese", "ru": "Russian", "zh": "Chinese", "ja": "Japanese"}
+
+    def changed(prompt: str) -> str:
+        w = prompt.split()
+        if len(w) > 5 and r.random() < 0.5:
+            k = r.randrange(len(w))
+            w = w[:k] + ([made("en")] if r.random() < 0.4 else []) + w[k + 1 :]
+            return " ".join(w)
+        return r.choice([prompt, prompt.lower(), f'"{prompt}"', f"{prompt}\n{prompt}", prompt.rstrip(".?。？"), prompt.upper()])
+
+    def phrase(lang: str) -> str:
+        return ("" if lang in cjk else " ").join(r.choice(common[lang]) if r.random() < 0.3 else made(lang) for _ in range(r.randint(1, 6)))
+
+    def statement() -> str:
+        return r.choice([f"assert {made('en')} == {r.randint(1, 999)}", f"{made('en')}({r.randint(1, 9)})", f"{made('en')} = {made('en')} + {r.randint(1, 9)};"])
+
+    def sound(lang: str, body: list[str], code: str, sep: str) -> str:
+        return r.choice([sep.join(body)] * 4 + ["[THOUGHT]\n" + sep.join(body) + "\n[/THOUGHT]\n[ANSWER]\n" + statement() + "\n[/ANSWER]", "[THOUGHT]\n" + sep.join(body) + "\n[/THOUGHT]\n[ANSWER]\n" + phrase(lang) + "\n[/ANSWER]", "\n".join(f"{j + 1}. {phrase(lang)}" for j in range(r.randint(2, 6))), "\n".join(f"- {phrase(lang)}" for _ in range(r.randint(2, 6))), body[0] + "\n" + "\n".join(f"- {phrase(lang)}" for _ in range(3)), phrase(lang), code, code + "\n" + body[0], made(lang), f"{r.randint(1, 99)} {made(lang)}", "\n".join(f"{j + 1}. {made(lang)}" for j in range(4)), ", ".join(made(lang) for _ in range(3)), "I cannot overstate how much this matters here. " + sentence("en"), "We do not know it for sure, and I would not say so. " + sentence("en"), "[THOUGHT]\n" + body[0] + "\n[/THOUGHT]\n[ANSWER]\n" + body[-1] + "\n[/ANSWER]"])
+
     for i in range(n):
         lang = "en" if r.random() < 0.5 and "en" in common else r.choice(langs)
         sep = "" if lang in cjk else " "
@@ -240,28 +313,44 @@ def labelled_pairs(common: dict[str, list[str]], n: int = TRAIN_PAIRS, seed: int
         body = [sentence(lang) for _ in range(r.randint(1, 5))]
         code = "```python\n" + "\n".join(f"{made('en')} = {made('en')}({r.randint(1, 9)})" for _ in range(4)) + "\n```"
         how = i % 8
-        if how == 0:
-            yield prompt, sep.join(body), "answer"
-        elif how == 1:
-            yield prompt, r.choice([code, code + "\n" + sentence(lang), made(lang), f"{r.randint(1, 99)} {made(lang)}", "\n".join(f"{j + 1}. {made(lang)}" for j in range(4)), ", ".join(made(lang) for _ in range(3)), "I cannot overstate how much this matters here. " + sentence("en")]), "answer"
+        if how in (0, 1):
+            if r.random() < 0.1 and len(langs) > 1:
+                other = r.choice([x for x in langs if x in names and x != lang] or [lang])
+                yield f"Translate into {names.get(other, other)}: {prompt}", [(" ".join(sentence(other) for _ in body), "answer")]
+            else:
+                yield prompt, [(sound(lang, body, code, sep), "answer")]
         elif how == 2:
-            yield prompt, prompt + r.choice([" ", "\n\n"]) + sep.join(body), "restated"
+            yield prompt, [(changed(prompt), "echo"), (r.choice([" ", "\n\n"]), "answer"), (sep.join(body), "answer")]
         elif how == 3:
-            yield prompt, r.choice(sorry.get(lang, [""])) + r.choice(declines.get(lang, declines["en"])) + r.choice(["", sep + body[0], " I hope you understand."]), "refusal"
+            yield prompt, [(r.choice(sorry.get(lang, [""])) + r.choice(declines.get(lang, declines["en"])) + r.choice(["", " I hope you understand."]), "refusal"), (r.choice(["", sep + body[0]]), "answer")]
         elif how == 4:
-            yield prompt, r.choice([prompt, prompt.lower(), f'"{prompt}"', f"{prompt}\n{prompt}", prompt.rstrip(".?。？")]), "echo"
+            yield prompt, [(changed(prompt), "echo")]
         elif how == 5:
             other = r.choice([x for x in langs if x != lang] or [lang])
-            yield prompt, ("" if other in cjk else " ").join(sentence(other) for _ in body), "foreign"
+            yield prompt, [(("" if other in cjk else " ").join(sentence(other) for _ in body), "foreign")]
         else:
-            full = r.choice([sep.join(body), code, code[:-3], "[THOUGHT]\n" + body[0] + "\n[/THOUGHT]\n[ANSWER]\n" + sentence(lang)])
-            if full.endswith("```"):
-                yield prompt, full, "answer"
-            elif full.startswith(("[", "```")):
-                yield prompt, full, "unfinished"
+            kind = r.random()
+            if kind < 0.2:
+                yield prompt, [(r.choice(["", body[0] + "\n"]), "answer"), (code[: -r.randint(3, 12)], "unfinished")]
+            elif kind < 0.35:
+                yield prompt, [("[THOUGHT]\n" + body[0] + "\n[/THOUGHT]\n", "answer"), ("[ANSWER]\n" + sentence(lang), "unfinished")]
             else:
-                cut = full[: max(12, int(len(full) * r.uniform(0.4, 0.95)))].rstrip(".。 ")
-                yield prompt, cut + r.choice(["", "", ","]), "unfinished"
+                end = sentence(lang)
+                cut = end[: max(4, int(len(end) * r.uniform(0.2, 0.95)))].rstrip(".。 ")
+                yield prompt, [(sep.join(body) + sep if r.random() < 0.8 else "", "answer"), (cut + r.choice(["", "", ","]), "unfinished")]
+
+
+def tags_as_made(pieces: list[tuple[str, str]]) -> list[int]:
+    """The tag of each clause of the response: that of the piece that it begins in."""
+    text = "".join(p for p, _ in pieces)
+    ends = np.cumsum([len(p) for p, _ in pieces])
+    out, at = [], 0
+    for c, _, _ in clauses(text):
+        head = c.strip()[:24]
+        at = max(at, text.find(head, at))
+        out.append(TAGS.index(pieces[int(np.searchsorted(ends, at, "right"))][1]))
+        at += len(head)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -269,22 +358,12 @@ def _fitted(words: tuple[tuple[str, tuple[str, ...]], ...], n: int) -> Field:
     common = {k: list(v) for k, v in words}
     langs = Languages(common)
     xs, ys = [], []
-    for prompt, output, tag in labelled_pairs(common, n):
-        x, _ = features(prompt, output, langs)
-        if not 0 < len(x) <= 12:
-            continue
-        f = {k: x[:, j] for j, k in enumerate(FEATURES)}
-        y = np.zeros(len(x), int)
-        if tag in ("echo", "restated"):
-            y[f["echo"] > 0] = TAGS.index("echo")
-        elif tag == "refusal":
-            y[(f["refuses"] > 0) | (f["courtesy"] > 0)] = TAGS.index("refusal")
-        elif tag == "foreign":
-            y[f["foreign"] > 0] = TAGS.index("foreign")
-        elif tag == "unfinished":
-            y[-1] = TAGS.index("unfinished")
-        xs.append(x)
-        ys.append(list(y))
+    for prompt, pieces in labelled_pairs(common, n):
+        x, _ = features(prompt, "".join(p for p, _ in pieces), langs)
+        y = tags_as_made(pieces)
+        if 0 < len(x) == len(y) <= 12:
+            xs.append(x)
+            ys.append(y)
     return Field.fit(xs, ys)
 
 
