@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +26,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables in the shared folder that live as long as a `with` block: compact, read column by column, deleted at its end.
+
+    What leaves the block must be made durable in it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
+        self.n = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """The same rows, written and read again."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.folder)
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """At least one partition a core, for Python stages over an input of few splits. Larger inputs stay as they are read."""
     n = df.sparkSession.sparkContext.defaultParallelism
