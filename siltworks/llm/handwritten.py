@@ -1,14 +1,16 @@
 """Problem 1: files that nobody wrote by hand: generated, minified, vendored, or data saved as code.
 
-Method: a file's tokens, comments left out, give shingles of five. With identifiers and literals masked they show families
-within a repository's files: in a generated file one masked unit stands again and again, so that nearly all its shingles occur
-equally often; a statement by the generator in a comment counts too. Files are alike if SIMILAR or more of the smaller
-set of shingles is in the other, so that local additions don't part copies; clusters over several repositories are vendored copies.
-Candidates come from a prefix filter, which misses no such pair: of a set's shingles, rarest first, one of the first
-n - SIMILAR n + 1 is in every set that holds SIMILAR of it. The clusters are made
-on shingles that keep their identifiers: hand-written files of one style agree in their masked shingles to 0.8 and more, so
-masked clusters would join them. A file of literals with no code between them is a blob; long lines without white space are
-minified.
+Method: a file's tokens, comments left out, give shingles of five, with identifiers and literals masked and as they are.
+
+* Generated: a family of units that are equal when masked makes up the file (its shingles are few and nearly all occur equally
+  often), or the generator says so in a comment. Families of whole files within a repository don't tell: see the README's figures.
+* Data: masked, the file is literals and punctuation only; of those, what is random-looking or rows of plain literals
+  is data, and the rest is configuration.
+* Minified: most characters stand in long lines without white space.
+* Vendored: clusters over several repositories, on shingles that keep their identifiers. Files are alike if SIMILAR or more of
+  the smaller set of shingles is in the other, so that local additions don't part copies. Candidates come from a prefix filter,
+  which misses no such pair: of a set's shingles, rarest first, one of the first n - SIMILAR n + 1 is in every set that holds
+  SIMILAR of it. MinHash bands miss some (see the README).
 
 Copies with equal tokens are one class from the start, with the least and the greatest repository of the class, so a class
 may hold any share of the files. In a bucket (a rare shingle) each class is first held against the largest one; then only classes
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from siltworks.llm.conversations import components
-from siltworks.runtime import durable, require, spread, table
+from siltworks.runtime import Scratch, durable, require, spread, table
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Keywords that aren't masked.
 KEYWORDS = frozenset("def return if for in while class else elif try except finally raise import from as with lambda yield not and or is None True False int char const static void public private protected final func var let function new switch case default break continue throw package type struct map range len append string float64 bool double long short unsigned signed size_t sizeof typedef enum include define interface extends implements this self null true false async await export exports require module then fi do done local echo set".split())
 #: What generators write about their output, by language.
-STATEMENTS = (r"code generated by .{1,80}?do not edit", r"@generated\b", r"<auto-?generated", r"^\W*auto-?generated\b", r"\bauto-?generated (?:file|from|by|code)\b", r"\bautomatically (?:generated|created|produced|written) (?:by|from)\b", r"\b(?:generated|produced|created|written|emitted|compiled) by [\w./-]+ v?\d[\w.]*\b", r"\brun .{2,40} to (?:refresh|regenerate|rebuild|update) (?:this|the) file", r"\bthis file (?:was|is|has been) (?:auto\w*[ -]?)?(?:generated|machine[- ]\w+)", r"\bgenerated (?:file|code|source)\b.{0,40}\b(?:do not|don't|never) (?:edit|change|modify)", r"automatisch (?:erzeugt|generiert|erstellt)", r"(?:produite?|générée?|créée?) automatiquement", r"(?:generad|cread|producid)[oa] automáticamente", r"automáticamente (?:generad|cread)", r"(?:gerad|criad|produzid)[oa] automaticamente", r"автоматически (?:сгенерирован|создан|сформирован)|(?:сгенерирован|создан|сформирован)\w* автоматически", r"自动(?:生成|产生)", r"自動(?:的に)?(?:生成|作成)")
+STATEMENTS = (r"code generated by .{1,80}?do not edit", r"@generated\b", r"<auto-?generated", r"^\W*auto-?generated\b", r"\bauto-?generated (?:file|from|by|code)\b", r"\bautomatically (?:generated|created|produced|written) (?:by|from)\b", r"^\W*(?:(?:this|the) (?:file|code|source|module) (?:is|was|has been) )?(?:generated|produced|created|written|emitted|compiled) by [\w./-]+ v?\d[\w.]*\b", r"\brun .{2,40} to (?:refresh|regenerate|rebuild|update) (?:this|the) file", r"\bthis file (?:was|is|has been) (?:auto\w*[ -]?)?(?:generated|machine[- ]\w+)", r"\bgenerated (?:file|code|source)\b.{0,40}\b(?:do not|don't|never) (?:edit|change|modify)", r"automatisch (?:erzeugt|generiert|erstellt)", r"(?:produite?|générée?|créée?) automatiquement", r"(?:generad|cread|producid)[oa] automáticamente", r"automáticamente (?:generad|cread)", r"(?:gerad|criad|produzid)[oa] automaticamente", r"автоматически (?:сгенерирован|создан|сформирован)|(?:сгенерирован|создан|сформирован)\w* автоматически", r"自动(?:生成|产生)", r"自動(?:的に)?(?:生成|作成)")
 
 #: One of these is part of each statement.
 _HINTS = ("generated", "automat", "auto-gen", "produced", "created by", "written by", "emitted by", "compiled by", "to refresh", "to regenerate", "to rebuild", "to update", "自动", "自動", "автомат", "produit")
@@ -49,7 +51,8 @@ _HASH = re.compile(_STRINGS + r"|#[^\n]*" + _TAIL)
 _SLASH = re.compile(_STRINGS + r"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)" + _TAIL)
 #: A comment or string with a sentence in it: a repeated unit with sentences of its own is somebody's work.
 _PROSE = re.compile(r"(?:(?:#|//|\*|\"\"\")\s*|[\"'])(?:(?:[^\W\d_]{1,20}['’,]?\s){6}[^\"'\n]*|[^\"'\n]*[぀-鿿]{8,}[^\"'\n]*)")
-_CONFIG = (".json", ".yaml", ".yml", ".sh", ".bash", ".toml", ".ini", ".xml", ".lock")
+#: Keywords that only code has; a unit without any is configuration.
+_CODE = frozenset("def return func function class switch throw raise except catch await async lambda typedef struct include static void export import const".split())
 _HASHED = (".py", ".sh", ".yaml", ".yml", ".bash", ".rb", ".pl", ".toml")
 _PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?-----END [A-Z0-9 ]+-----")
 _RANDOM = re.compile(r"[A-Za-z0-9+/=_-]{20,}|(?:\\x[0-9a-fA-F]{2}){4,}|(?:0x[0-9a-fA-F]{1,2},?\s*){4,}")
@@ -89,6 +92,11 @@ def _shingles(codes: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
+def literal_only(toks: list[str]) -> bool:
+    """Whether the masked tokens are literals and punctuation, but for the one or two names that the data are assigned to."""
+    return sum(_kind(t) == "I" for t in toks) <= 2
+
+
 def _kind(t: str) -> str:
     c = t[0]
     return "S" if c in "\"'`" else "0" if c.isdigit() else "I" if (c.isalpha() or c in "_$") and t not in KEYWORDS else t
@@ -146,15 +154,13 @@ def profile(text: str | None, path: str | None) -> tuple[str | None, str | None,
     """(kind by the file alone, token class, unmasked shingles); nothing for a blank text."""
     if not text or not text.strip():
         return None, None, None
-    kind = "generated" if stated(text) else "minified" if minified(text) else "data" if blob(text) else None
     toks = tokens(text, path)
-    if not toks:
+    kind = "generated" if stated(text) else "minified" if minified(text) else "data" if literal_only(toks) and blob(text) else None
+    if kind or not toks:
         return kind, None, None
     codes = _coded(toks)
-    if kind is None and len(_PROSE.findall(text)) < 2 and not (path or "").lower().removesuffix(".bak").endswith(_CONFIG) and repeated_unit(codes[:, 1]):
-        kind = "generated"
-    if kind:
-        return kind, None, None
+    if len(_PROSE.findall(text)) < 2 and not _CODE.isdisjoint(toks) and repeated_unit(codes[:, 1]):
+        return "generated", None, None
     full = np.ascontiguousarray(codes[:, 0])
     shingles = np.unique(_shingles(full))
     return kind, xxhash.xxh128_hexdigest(full.tobytes()), np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
@@ -181,21 +187,26 @@ def links(classes: DataFrame, files: DataFrame, key: str, similar: float = SIMIL
 
     Rows of shingles that stand in one class only are dropped at once; they count for the prefix as the rarest ones.
     """
+    with Scratch(files.sparkSession) as scratch:
+        return _links(classes, files, key, similar, scratch.put)
+
+
+def _links(classes: DataFrame, files: DataFrame, key: str, similar: float, put: Callable[[DataFrame], DataFrame]) -> DataFrame:
     size = files.filter("cls IS NOT NULL").select("cls", F.size("shingles").alias("n")).groupBy("cls").agg(F.max("n").alias("n"))
-    ids = durable(classes.select("cls", F.col("rep").alias(key)).join(size, "cls").orderBy("n").withColumn("i", F.monotonically_increasing_id()))
+    ids = put(classes.select("cls", F.col("rep").alias(key)).join(size, "cls").orderBy("n").withColumn("i", F.monotonically_increasing_id()))
     # i grows with n, so of two classes the one of the lesser i isn't the larger one
-    sets = durable(files.filter("cls IS NOT NULL").select(key, "cls", "shingles").join(ids.select(key, "cls", "i"), [key, "cls"]).dropDuplicates([key, "cls"]).select("i", "shingles"))
+    sets = put(files.filter("cls IS NOT NULL").select(key, "cls", "shingles").join(ids.select(key, "cls", "i"), [key, "cls"]).dropDuplicates([key, "cls"]).select("i", "shingles"))
     each = sets.select("i", F.explode("shingles").alias("h")).withColumn("f", F.count("*").over(W.partitionBy("h"))).filter("f > 1")
     # a shingle is written behind its count, in one number: rows are small and sort from rare to frequent
-    shared = durable(each.select("i", F.shiftleft("f", 32).bitwiseOR(F.col("h").cast("bigint").bitwiseAND(F.lit(2**32 - 1))).alias("h")))
+    shared = put(each.select("i", F.shiftleft("f", 32).bitwiseOR(F.col("h").cast("bigint").bitwiseAND(F.lit(2**32 - 1))).alias("h")))
     rare = shared.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("h"))).withColumn("m", F.count("*").over(W.partitionBy("i"))).join(ids.select("i", "n"), "i")
-    rare = durable(rare.filter(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("h", "i"))
-    member = durable(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i"))
+    rare = put(rare.filter(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("h", "i"))
+    member = put(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         got = pairs.join(sets, "i").join(sets.select(F.col("i").alias("j"), F.col("shingles").alias("other")), "j")
         both = F.size(F.array_intersect("shingles", "other"))
-        return durable(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("i", "j"))
+        return put(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("i", "j"))
 
     lead = member.groupBy("h").agg(F.max("i").alias("j"))
     led = verified(rare.join(lead, "h").filter("i != j").select("i", "j").distinct())
