@@ -2,32 +2,28 @@
 
 A sequential filter that compares with earlier kept rows only depends on the order of rows and can't be distributed. Here
 groups are the connected components of verified links, and the row of least order of each is kept; this drops the same rows
-save along chains (a like b, b like c, a unlike c), where the sequential filter keeps c. Exact copies are one class first, and classes in a
-bucket are held against the bucket's leader first and then only against classes that aren't alike the same leader, so neither copies
-nor hot buckets of like texts make pairs among themselves and no link between groups is lost.
+save along chains (a like b, b like c, a unlike c), where the sequential filter keeps c.
+
+Exact copies are one class first. Candidates share a key. The classes of a key are held against its leader first, which settles
+like ones in linear time; then only classes that aren't known to be alike by that are held against each other, in blocks of a key
+(`BLOCKS` salts a side), so a hot key is divided among tasks, like texts make no pairs among themselves, nothing is capped, and no link
+between groups is lost at any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltworks.functions.text import nz
 from siltworks.registry import register
 from siltworks.runtime import durable, require, spread
 
-_PRIME_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray, seed: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ np.uint64(seed * 2654435761 % 2**63)) * _PRIME_MIX
-        x ^= x >> np.uint64(29)
-        return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
 def gram_hashes(text: str, n: int, by_word: bool) -> np.ndarray:
@@ -54,31 +50,28 @@ def group_links(links: DataFrame) -> DataFrame:
         label = new
 
 
-def leader_links(keys: DataFrame, sketches: DataFrame, alike: object, small: bool = False) -> DataFrame:
-    """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch); alike(sketch, other) -> Column.
+#: Salts a side by which the pairs of one key are dealt to tasks.
+BLOCKS = 8
 
-    Each id is held against its bucket's leader first; then only ids that aren't alike one leader are held against each other.
-    small: sketches of a few bytes go along with the keys, so that pairs are verified where they are made and never written.
-    """
-    keys = durable(keys.distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(sketches, "a").join(sketches.select(F.col("a").alias("b"), F.col("sketch").alias("other")), "b")
-        return durable(got.filter(alike(F.col("sketch"), F.col("other"))).select("a", "b"))
-
-    sketches = sketches.select(F.col("id").alias("a"), "sketch")
+def leader_links(keys: DataFrame, sketches: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch)."""
+    keys = durable(keys.distinct())
+    mine = sketches.select(F.col("id").alias("a"), "sketch")
+    theirs = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other"))
+    verified = lambda pairs: durable(pairs.join(mine, "a").join(theirs, "b").filter(alike(F.col("sketch"), F.col("other"))).select("a", "b"))
     lead = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    led = verified(keys.join(lead, "bucket").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
+    led = verified(keys.join(lead.select("bucket", "b"), "bucket").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
     label = led.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
-    own = keys.join(label, "id", "left").select("bucket", F.col("id").alias("a"), F.coalesce("c", "id").alias("c"))
-    other = own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"))
-    if small:
-        mine = own.join(sketches, "a")
-        theirs = mine.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"), F.col("sketch").alias("other"))
-        return led.union(durable(mine.join(theirs, "bucket").filter((F.col("b") < F.col("a")) & (F.col("c") != F.col("d")) & alike(F.col("sketch"), F.col("other"))).select("a", "b").distinct()))
-    apart = own.select("bucket", "c").distinct().join(other.select("bucket", "d").distinct(), "bucket").filter("c < d")
-    pairs = own.join(apart, ["bucket", "c"]).join(other, ["bucket", "d"]).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return led.union(verified(pairs))
+    own = durable(keys.join(lead.select("bucket"), "bucket", "left_semi").join(label, "id", "left").select("bucket", F.col("id").alias("a"), F.coalesce("c", "id").alias("c")))
+    # buckets with one label only have nothing left to compare
+    open_ = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
+    own = own.join(open_, "bucket", "left_semi")
+    salts = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
+    x = own.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int")).withColumn("j", F.explode(salts))
+    y = own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"), F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int").alias("j")).withColumn("i", F.explode(salts))
+    pairs = x.join(mine, "a").join(y.join(theirs, "b"), ["bucket", "i", "j"]).filter((F.col("b") < F.col("a")) & (F.col("c") != F.col("d")) & alike(F.col("sketch"), F.col("other")))
+    return led.union(durable(pairs.select("a", "b").distinct()))
 
 
 def _classes(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -93,29 +86,51 @@ def _keep_first(df: DataFrame, order: str, classes: DataFrame, links: DataFrame)
     return df.join(ids, order, "left_semi")
 
 
+def _bands(code: np.ndarray, rows: int) -> np.ndarray:
+    """A key for each `rows` neighbouring values of each row of a matrix."""
+    out = np.zeros((len(code), code.shape[1] // rows), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows):
+            out = (out ^ code[:, k::rows][:, : out.shape[1]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(31)
+        out ^= np.arange(out.shape[1], dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return out.view(np.int64)
+
+
 @register("minhash_deduplicate_filter")
 def minhash_deduplicate(df: DataFrame, input_key: str, order: str, num_perm: int = 128, threshold: float = 0.9, ngram: int = 5, by_word: bool = False, rows: int = 8) -> DataFrame:
-    """First row of each group of texts whose MinHash similarity of n-grams reaches the threshold."""
+    """First row of each group of texts whose MinHash similarity of n-grams reaches the threshold; candidates share a band of `rows` values."""
     require(df, input_key, order)
-    seeds = range(1, num_perm + 1)
+    seeds = np.arange(1, num_perm + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "sketch": [[int(_mixed(g, s).min() >> np.uint64(33)) for s in seeds] for g in (gram_hashes(t, ngram, by_word) for t in b["t"])]})
+            code = np.empty((len(b), num_perm), np.int32)
+            for i, t in enumerate(b["t"]):
+                g = gram_hashes(t, ngram, by_word)
+                least = np.full(num_perm, 2**64 - 1, np.uint64)
+                # seeds x grams at once, in parts that stay small for very long texts
+                for part in np.array_split(g, max(1, len(g) // 4096)):
+                    with np.errstate(over="ignore"):
+                        x = (part[None] ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+                    least = np.minimum(least, x.min(1))
+                code[i] = (least >> np.uint64(33)).astype(np.int32)
+            yield pd.DataFrame({"id": b["id"], "sketch": list(code), "keys": list(_bands(code, rows))})
 
     classes = durable(_classes(df, input_key, order))
     kind = classes.schema["id"].dataType.simpleString()
-    sk = durable(spread(classes).mapInPandas(run, f"id {kind}, sketch array<int>"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(num_perm // rows - 1)), lambda i: F.xxhash64(i, F.slice("sketch", i * rows + 1, rows)))
-    same = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= threshold * num_perm
-    return _keep_first(df, order, classes, leader_links(sk.select("id", F.explode(bands).alias("bucket")), sk, same))
+    sk = durable(spread(classes).mapInPandas(run, f"id {kind}, sketch array<int>, keys array<bigint>"))
+    need = int(np.ceil(threshold * num_perm - 1e-9))
+    same = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x) >= need
+    return _keep_first(df, order, classes, leader_links(sk.select("id", F.explode("keys").alias("bucket")), sk.select("id", "sketch"), same))
 
 
 @register("simhash_deduplicate_filter")
-def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float = 0.1, ngram: int = 3) -> DataFrame:
+def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float = 0.1, ngram: int = 3, near: int = 2) -> DataFrame:
     """First row of each group of texts whose 64-bit SimHash differs in at most bound x 64 bits.
 
-    Candidates share one of bits + 1 blocks of the fingerprint, so by the pigeonhole principle none is missed.
+    The fingerprint is cut into bits + near parts; two of at most `bits` different bits agree in `near` parts at least, so candidates
+    share some `near` parts, and none is missed. Keys of two parts together tell apart far more fingerprints than one would.
     """
     require(df, input_key, order)
     bits = int(bound * 64)
@@ -125,51 +140,64 @@ def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float
             out = []
             for t in b["t"]:
                 h = gram_hashes(t, ngram, False)
-                votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int64).sum(0) * 2 - len(h)
+                votes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) * 2 - len(h)
                 out.append(int(np.packbits(votes > 0).view(np.int64)[0]))
             yield pd.DataFrame({"id": b["id"], "sketch": out})
 
     classes = durable(_classes(df, input_key, order))
     kind = classes.schema["id"].dataType.simpleString()
     sk = durable(spread(classes).mapInPandas(run, f"id {kind}, sketch bigint"))
-    cuts = [round(i * 64 / (bits + 1)) for i in range(bits + 2)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("sketch", a).bitwiseAND(F.lit(2 ** (z - a) - 1).cast("bigint")).alias("v")) for i, (a, z) in enumerate(zip(cuts, cuts[1:]))])
-    keys = sk.select("id", F.explode(blocks).alias("k")).select("id", F.xxhash64("k.i", "k.v").alias("bucket"))
-    return _keep_first(df, order, classes, leader_links(keys, sk, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits, True))
+    n = bits + near
+    cuts = [round(i * 64 / n) for i in range(n + 1)]
+    part = lambda i: F.shiftrightunsigned("sketch", cuts[i]).bitwiseAND(F.lit(2 ** (cuts[i + 1] - cuts[i]) - 1).cast("bigint"))
+    keys = F.array(*[F.xxhash64(F.lit(k), *map(part, c)) for k, c in enumerate(combinations(range(n), near))])
+    return _keep_first(df, order, classes, leader_links(sk.select("id", F.explode(keys).alias("bucket")), sk, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits))
 
 
 @register("ngramhash_deduplicate_filter")
 def ngramhash_deduplicate(df: DataFrame, input_key: str, order: str, n_gram: int = 3, diff_size: int = 1) -> DataFrame:
-    """First row of each group of texts that differ in at most diff_size of their n_gram equal parts."""
+    """First row of each group of texts that share at least diff_size of their different parts, wherever these stand.
+
+    A text is cut into n_gram parts of equal length, what is left over at its end doesn't count. With diff_size 1 all texts with a part
+    are one group, so a part is linked with its least text only; with more, pairs that share so many parts are counted.
+    """
     require(df, input_key, order)
     classes = durable(_classes(df, input_key, order))
-    size = F.ceil(F.length("t") / n_gram).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(n_gram - 1)), lambda i: F.xxhash64(F.substr(F.col("t"), i * size + 1, size)))
-    sk = durable(classes.select("id", parts.alias("sketch")))
-    keys = sk.select("id", F.posexplode("sketch").alias("i", "v")).select("id", F.xxhash64("i", "v").alias("bucket"))
-    differ = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x) <= diff_size
-    return _keep_first(df, order, classes, leader_links(keys, sk, differ))
+    size = F.floor(F.length("t") / n_gram).cast("int")
+    parts = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n_gram - 1)), lambda i: F.md5(F.substr(F.col("t"), i * size + 1, size))))
+    each = durable(classes.select("id", parts.alias("ps"))).select("id", F.explode("ps").alias("p"))
+    if diff_size <= 1:
+        least = each.groupBy("p").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        links = each.join(least, "p").filter("id != b").select(F.col("id").alias("a"), "b").distinct()
+        return _keep_first(df, order, classes, links)
+    # texts that share diff_size parts share a set of as many
+    sets = F.array(*[F.concat_ws(",", F.array_sort(F.array(*[F.get("ps", F.lit(i)) for i in c]))) for c in combinations(range(n_gram), diff_size)])
+    keyed = classes.select("id", parts.alias("ps")).filter(F.size("ps") >= diff_size).select("id", F.explode(F.array_distinct(sets)).alias("p")).filter(F.size(F.split("p", ",")) == diff_size)
+    least = keyed.groupBy("p").agg(F.min("id").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return _keep_first(df, order, classes, keyed.join(least, "p").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
 
 
 @register("sem_deduplicate_filter")
 def semantic_deduplicate(df: DataFrame, vector: str, order: str, eps: float = 0.05, planes: int = 12, tables: int = 24, seed: int = 9) -> DataFrame:
-    """First row of each group of vectors with cosine similarity of 1 - eps or more; candidates share a table's signs of random planes."""
+    """First row of each group of vectors with cosine similarity of 1 - eps or more; candidates share a table's signs of random planes.
+
+    A pair at the bound of 0.95 shares one with a chance of 1 - (1 - 0.9^planes)^tables, by default over 0.999.
+    """
     require(df, vector, order)
     rng = np.random.default_rng(seed)
-    dim = len(df.select(vector).filter(F.col(vector).isNotNull()).first()[0]) if df.limit(1).count() else 1
+    some = df.select(F.size(vector).alias("n")).filter("n > 0").limit(1).collect()
+    dim = some[0]["n"] if some else 1
     w = rng.standard_normal((dim, planes * tables))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        power = 2 ** np.arange(planes)
         for b in batches:
             x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else np.zeros((0, dim))
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            code = ((x @ w) > 0).reshape(len(x), tables, planes) @ power
-            yield pd.DataFrame({"id": b["id"], "sketch": list(x.astype(np.float32)), "codes": [[int(t * 2**planes + c) for t, c in enumerate(r)] for r in code]})
+            yield pd.DataFrame({"id": b["id"], "sketch": list(x.astype(np.float32)), "keys": list(_bands((x @ w > 0).astype(np.uint8), planes))})
 
     base = df.select(F.col(order).alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     kind = base.schema["id"].dataType.simpleString()
-    sk = durable(spread(base).mapInPandas(run, f"id {kind}, sketch array<float>, codes array<bigint>"))
+    sk = durable(spread(base).mapInPandas(run, f"id {kind}, sketch array<float>, keys array<bigint>"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda s, x: s + x) >= 1 - eps
-    links = leader_links(sk.select("id", F.explode("codes").alias("bucket")), sk.select("id", "sketch"), dot)
+    links = leader_links(sk.select("id", F.explode("keys").alias("bucket")), sk.select("id", "sketch"), dot)
     return _keep_first(df, order, df.select(F.col(order).alias("id")), links)

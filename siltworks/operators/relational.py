@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from siltworks.functions.text import n_words, nz, words
+from siltworks.functions.text import SPACE, WORD, char_ngrams, let, n_words, ngrams, nz, words
 from siltworks.registry import register
 from siltworks.runtime import require
 
@@ -44,9 +48,12 @@ def value_counts(df: DataFrame, *keys: str) -> DataFrame:
 
 @register("reasoning_token_dataset_evaluator")
 def length_statistics(df: DataFrame, key: str) -> DataFrame:
-    """Zeros, least, greatest, mean and upper median of the number of words."""
-    n = n_words(key)
-    return df.select(n.alias("n")).agg(F.sum((F.col("n") == 0).cast("int")).alias("zeros"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.avg("n").alias("mean"), F.count("*").alias("n_rows"))
+    """Zeros, least, greatest, mean and upper median of the number of words. The median is read off the counts of each length, so rows are only aggregated."""
+    require(df, key)
+    by = df.groupBy(n_words(key).alias("n")).agg(F.count("*").alias("c"))
+    run = by.withColumn("upto", F.sum("c").over(W.orderBy("n"))).withColumn("all", F.sum("c").over(W.partitionBy()))
+    middle = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("n")))
+    return run.agg(F.coalesce(F.sum(F.when(F.col("n") == 0, F.col("c"))), F.lit(0)).alias("zeros"), F.min("n").alias("least"), F.max("n").alias("greatest"), (F.sum(F.col("n") * F.col("c")) / F.sum("c")).alias("mean"), middle.alias("median"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_rows"))
 
 
 @register("reasoning_pretrain_format_convert")
@@ -54,11 +61,20 @@ def pretrain_format(df: DataFrame, question: str, answer: str) -> DataFrame:
     return df.select(F.concat(nz(question), F.lit("\n"), nz(answer)).alias("text"))
 
 
+def repetition_score(c: Column, n: int = 5) -> Column:
+    """Share of different n-grams: of characters (Han, Latin letters, digits) for a text with Han characters, else of words; 0 where there is none."""
+    t = F.lower(nz(c))
+    han = char_ngrams(F.regexp_replace(t, "[^\u4e00-\u9fff0-9a-z]", ""), n)
+    plain = ngrams(words(F.regexp_replace(t, f"[^{WORD}{SPACE}]", " ")), n)
+    return let(F.when(t.rlike("[\u4e00-\u9fff]"), han).otherwise(plain), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g)))
+
+
 @register("reasoning_answer_ngram_filter")
 def answer_ngram(df: DataFrame, question: str, answer: str, min_score: float = 0.1, max_score: float = 1.0, ngrams: int = 5) -> DataFrame:
-    from siltworks.operators.rule_filters import ngram_score
-
-    return df.filter(ngram_score(F.concat_ws(" ", nz(question), nz(answer)), ngrams).between(min_score, max_score))
+    """Rows whose question and answer repeat themselves neither too much nor too little. Bounds outside 0 to 1 are set to its ends, crossed ones swapped; an n that isn't positive is 5."""
+    require(df, question, answer)
+    lo, hi = min_score if 0 <= min_score <= 1 else 0.0, max_score if 0 <= max_score <= 1 else 1.0
+    return df.filter(repetition_score(F.concat(nz(question), F.lit(" "), nz(answer)), ngrams if ngrams > 0 else 5).between(min(lo, hi), max(lo, hi)))
 
 
 @register("answer_token_length_filter")
@@ -90,13 +106,6 @@ def adjacent_pairs(df: DataFrame, partition: str, order: str, text: str) -> Data
     return df.select(partition, order, F.col(text).alias("first"), F.lead(text).over(w).alias("second")).filter(F.col("second").isNotNull())
 
 
-@register("qa_merger")
-def merge_lists(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """Questions with the first answer that isn't empty of the same keys."""
-    firsts = answers.filter(nz("answer") != "").groupBy(*keys).agg(F.min("answer").alias("answer"))
-    return questions.join(firsts, keys, "left")
-
-
 @register("union_with_flag")
 def union_with_flag(original: DataFrame, synthetic: DataFrame, flag: str = "Synth_or_Input") -> DataFrame:
     return original.withColumn(flag, F.lit("input")).unionByName(synthetic.withColumn(flag, F.lit("synth")), allowMissingColumns=True)
@@ -126,21 +135,60 @@ def json_parse_filter(df: DataFrame, input_key: str, output_key: str, required:
     return out
 
 
-@register("qaf1")
-def token_f1(prediction: Column, truth: Column) -> Column:
-    """Token F1 of two answers: lower case, without punctuation and articles; yes, no and noanswer must agree."""
-    norm = lambda c: words(F.regexp_replace(F.regexp_replace(F.lower(nz(c)), r"[!-/:-@\[-`{-~]", ""), r"\b(?:a|an|the)\b", " "))
-    p, t = norm(prediction), norm(truth)
-    common = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, w: a + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(t, lambda x: x == w))))
-    fixed = [F.array(F.lit(x)) for x in ("yes", "no", "noanswer")]
-    strict = (p.isin(fixed) | t.isin(fixed)) & (p != t)
-    return F.when(strict | (common == 0), F.lit(0.0)).otherwise(2.0 * common / (F.size(p) + F.size(t)))
+def plain_answer(c: Column) -> Column:
+    """The words of an answer that count: lower case, without punctuation and articles, divided by spaces."""
+    return F.array_join(words(F.regexp_replace(F.regexp_replace(F.lower(nz(c)), r"[!-/:-@\[-`{-~]", ""), r"\b(?:a|an|the)\b", " ")), " ")
 
 
-@register("sql_component_classifier")
-def sql_difficulty(c: Column) -> Column:
-    """Score of the parts of a SQL text: sub-selects, joins, conditions, grouping, functions, order, limit, set operations."""
-    t = F.lower(nz(c))
-    n = lambda p: F.regexp_count(t, F.lit(p))
-    has = lambda p: t.rlike(p).cast("int")
-    return 2 * F.greatest(n(r"\bselect\b") - 1, F.lit(0)) + n(r"\bjoin\b") + (n(r"\b(?:and|or)\b") >= 2).cast("int") + has(r"\b(?:in|exists|like)\b") + has(r"\bgroup by\b") + has(r"\bhaving\b") + has(r"\b(?:count|sum|avg|min|max)\s*\(") + has(r"\border by\b") + has(r"\blimit\b") + 2 * has(r"\b(?:union|intersect|except)\b")
+def _f1(p: str, t: str) -> float:
+    if p != t and {p, t} & {"yes", "no", "noanswer"}:
+        return 0.0
+    a, b = p.split(), t.split()
+    common = sum((Counter(a) & Counter(b)).values())
+    return 2.0 * common / (len(a) + len(b)) if common else 0.0
+
+
+def token_f1(prediction: Column, *truths: Column) -> Column:
+    """Token F1 of an answer, the greatest over its references; yes, no and noanswer must agree. Words are counted, in time linear in them."""
+    @F.pandas_udf(T.DoubleType())
+    def run(p: pd.Series, *ts: pd.Series) -> pd.Series:
+        return pd.Series([max(_f1(x, t) for t in r) for x, *r in zip(p, *ts)], dtype=float)
+
+    return run(plain_answer(prediction), *map(plain_answer, truths))
+
+
+@register("agenticrag_qaf1_sample_evaluator")
+def qa_f1(df: DataFrame, prediction: str = "refined_answer", truth: str = "golden_doc_answer", output: str = "F1Score") -> DataFrame:
+    """df with the token F1 against the truth, a text or an array of them (the best counts; none gives 0)."""
+    require(df, prediction, truth)
+    if not dict(df.dtypes)[truth].startswith("array"):
+        return df.withColumn(output, token_f1(F.col(prediction), F.col(truth)))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    best = rows.select("_row", F.col(prediction).alias("_p"), F.explode(truth).alias("_t")).groupBy("_row").agg(F.max(token_f1(F.col("_p"), F.col("_t"))).alias(output))
+    return rows.join(best, "_row", "left").drop("_row").withColumn(output, F.coalesce(output, F.lit(0.0)))
+
+
+@register("pandas_operator")
+def compose(df: DataFrame, functions: list, schema: object | None = None) -> DataFrame:
+    """df through each function of frames in turn. With a schema, functions of pandas frames, applied to Arrow batches on executors."""
+    if schema is None:
+        for f in functions:
+            df = f(df)
+        return df
+
+    def run(batches):
+        for b in batches:
+            for f in functions:
+                b = f(b)
+            yield b
+
+    return df.mapInPandas(run, schema)
+
+
+@register("load_partition")
+def merge_by_id(frames: list[DataFrame], key: str = "id") -> DataFrame:
+    """Rows that all frames have, with every column; of a column in several frames the last one's value counts."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.drop(*[c for c in f.columns if c != key and c in out.columns]).join(f, key)
+    return out

@@ -22,7 +22,6 @@ IDENTITY = r"(?i)(身\s{0,10}份|id\s{0,10}number\s{0,10}|identification|identit
 SPECIAL = r"u200e|&#247;|\? :|[�□]|\{/U\}|U\+26[0-F][0-D]|U\+273[3-4]|U\+1F[3-6][0-4][0-F]|U\+1F6[8-F][0-F]"
 SEGMENT = "[–.!?,;•/|…]"
 STOPWORDS = "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn shan shouldn wasn weren won wouldn".split()
-BLOCKED = ("fraction", "tariff", "n/a")
 
 _RULES: dict[str, Callable[..., Column]] = {}
 
@@ -181,9 +180,25 @@ def _javascript(c: Column, threshold: int = 3) -> Column:
 
 
 @_rule("blocklist_filter")
-def _blocklist(c: Column, threshold: int = 1, blocked: tuple[str, ...] = BLOCKED) -> Column:
-    """Number of blocked words, up to the threshold. Lists stay in the plan as a hash set."""
-    return c.isNotNull() & (F.size(F.filter(words(F.lower(nz(c))), lambda w: w.isin(list(blocked)))) <= threshold)
+def _blocklist(c: Column, blocked: list[str] | tuple[str, ...], threshold: int = 1) -> Column:
+    """Number of blocked words, up to the threshold; empty texts go. blocked: the list, as of `word_list`; it stays in the plan as a hash set."""
+    return (nz(c) != "") & (F.size(F.filter(words(F.lower(nz(c))), lambda w: w.isin([b.lower() for b in blocked]))) <= threshold)
+
+
+def word_list(spark: object, path: str, bound: int = 100_000) -> list[str]:
+    """The different lines of a text file of settings, in lower case; more than `bound` are an error."""
+    rows = spark.read.text(path).select(F.lower(F.trim("value")).alias("w")).filter("w != ''").distinct().limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"{path} has more than {bound} lines")
+    return sorted(r["w"] for r in rows)
+
+
+@register("blocklist_table_filter")
+def blocklist_table(df: DataFrame, key: str, input_key: str, blocked: DataFrame, threshold: int = 1) -> DataFrame:
+    """blocklist_filter for a list of any length: blocked has a column `word`; the texts' words are joined with it. key: unique in df."""
+    require(df, key, input_key)
+    hits = df.select(key, F.explode(words(F.lower(nz(input_key)))).alias("word")).join(blocked.select(F.lower("word").alias("word")).distinct(), "word", "left_semi").groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > threshold)
+    return df.filter(nz(input_key) != "").join(hits, key, "left_anti")
 
 
 @register("word_number_filter")
