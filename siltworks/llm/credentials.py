@@ -41,7 +41,7 @@ _JOINT = re.compile(r"\s*(?:\+|\.\.?|\\)?\s*")
 _NAME = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?\]?\s*(?::\s*[\w<>\[\]&*|]+\s*)?(?:=>|:=|=|:|,|\()\s*(?:(?:new\s+)?\w*\(|\{\s*value\s*:\s*|[brufBRUF]{1,2}|&)*$""")
 _DEFINE = re.compile(r"#\s*define\s+([A-Za-z_]\w*)\s+$")
 _BEFORE = re.compile(r"""([A-Za-z_][\w.\-]*)["'`]?\s*(?::\s*[\w<>\[\]&*|]+\s*|\[\d*\]\s*)?(?:=>|:=|=|:|\()\s*$""")
-_INNER = re.compile(r"(?i)(?:^|[;&?,\s\"'{(-])([A-Za-z][\w.\- ]{0,40}?)\s*(?:=|:)\s*[\"']?([^\s;&\"',<>]+)")
+_INNER = re.compile(r"(?:^|(?<=[;&?,\s\"'{(-]))([A-Za-z][\w.\-]*(?: [\w.\-]+)?)\s*(?:=|:)\s*[\"']?([^\s;&\"',<>]+)")
 _SCHEME = re.compile(r"(?i)\b(bearer|basic|token)\s+([\w+/=.~-]{8,})")
 _URL = re.compile(r"[A-Za-z][\w+.-]*://([^\s/:@\"'`]*):([^\s@/\"'`]+)@")
 _COMMENT = re.compile(r"^\s*(?:#(?!\s*(?:define|include))|//|\*|/\*|--|;)|(?<=\s)(?:#|//)\s")
@@ -86,8 +86,8 @@ def alphabet(s: str) -> int:
 
 
 def random_like(s: str) -> bool:
-    """Above the threshold for its alphabet and length: a random string of n characters has about log2(min(n, alphabet)) bits."""
-    return entropy(s) >= 0.72 * math.log2(max(2, min(len(s), alphabet(s))))
+    """Whether s isn't empty and is above the threshold for its alphabet and length: a random string of n characters has about log2(min(n, alphabet)) bits."""
+    return bool(s) and entropy(s) >= 0.72 * math.log2(max(2, min(len(s), alphabet(s))))
 
 
 def secret_name(name: str) -> str | None:
@@ -110,10 +110,11 @@ def secret_name(name: str) -> str | None:
 def is_credential(value: str, named: bool) -> bool:
     """Whether a literal gives access, when its name (or place) says that it should."""
     v = value.strip()
-    if len(v) < 6 or len(v) > 4096 or _REFERENCE.search(v) or _STAND_IN.match(v) or _HASHED.match(v):
+    if len(v) < 6 or _REFERENCE.search(v) or _STAND_IN.match(v) or _HASHED.match(v):
         return False
     if _PHRASE.match(v):
-        return named
+        # a phrase's alphabet is its words, so it is their number that tells
+        return named and len(set(re.split(r"[-_. ]", v))) > 1
     if any(c.isspace() for c in v) or _SNAKE.match(v) or _CAMEL.match(v) or _UUID.match(v):
         return False
     if re.fullmatch(r"[\d.,:/\-+eE]+", v) or re.fullmatch(r"[^A-Za-z0-9]+", v) or "://" in v or re.fullmatch(r"[\w.-]+\.(?:py|js|go|c|h|java|json|ya?ml|sh|txt|md|pem|crt|com|org|net|io|internal)", v):
@@ -167,7 +168,7 @@ def _basic(v: str) -> bool:
     except (binascii.Error, ValueError):
         return False
     user, colon, word = t.partition(":")
-    return bool(colon) and len(word) >= 4 and not _STAND_IN.match(word) and not _REFERENCE.search(word)
+    return bool(colon) and len(word) >= 4 and random_like(word) and not _STAND_IN.match(word) and not _REFERENCE.search(word)
 
 
 def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[int, int]]:
@@ -175,7 +176,7 @@ def line_spans(line: str, before: str = "", config: bool = False) -> list[tuple[
     out: list[tuple[int, int]] = []
     out += [m.span() for m in _FORM.finditer(line) if not _STAND_IN.match(m[0]) and random_like(m[0])]
     if "://" in line:
-        out += [m.span(2) for m in _URL.finditer(line) if len(m[2]) >= 4 and not _STAND_IN.match(m[2]) and not _REFERENCE.search(m[2]) and m[2].lower() not in ("pass", "passwd", "pwd", "password", "secret") and not re.fullmatch(r"[%{<\[$].*", m[2])]
+        out += [m.span(2) for m in _URL.finditer(line) if len(m[2]) >= 4 and random_like(m[2]) and not _STAND_IN.match(m[2]) and not _REFERENCE.search(m[2]) and m[2].lower() not in ("pass", "passwd", "pwd", "password", "secret") and not re.fullmatch(r"[%{<\[$].*", m[2])]
     for m in _SCHEME.finditer(line):
         kind, v = m[1].lower(), m[2]
         if _basic(v) if kind == "basic" else is_credential(v, True) and (kind == "bearer" or bool(_FORM.match(v))):
@@ -226,7 +227,7 @@ def find(text: str | None, config: bool = False) -> list[tuple[int, int, int]]:
             continue
         no += 1
         if at >= skip and raw.strip():
-            if (m := _PEM.search(raw)) and (end := _PEM_END.search(text, at + m.end())) and _BODY.search(text, at + m.end(), end.start()):
+            if (m := _PEM.search(raw)) and (end := _PEM_END.search(text, at + m.end())) and random_like("".join(_BODY.findall(text, at + m.end(), end.start()))):
                 out.append((no, at + m.end(), at + m.end()))
                 out += [(no, at + m.end() + b.start(), at + m.end() + b.end()) for b in re.finditer(r"(?<!\\)[A-Za-z0-9+/=]{8,}", text[at + m.end() : end.start()])]
                 skip = at + len(raw) + 1 if end.start() < at + len(raw) else end.start()
