@@ -1,14 +1,15 @@
 """Problem 6: natural language inside source files.
 
-Method: prediction by partial matching. Per language a context tree of orders 0 to 2 over folded characters is counted on
-labelled rows; escape probabilities (method C) blend the orders, and the blend is folded into one table of code lengths by
-(two characters of context, character), so that a span costs one look-up a character for all languages at once. A span (a
-comment or a string literal) has the language whose tree codes it in fewest bits; spans that no tree codes below
-`LIMIT` bits a character, and spans without enough running words, are undetermined.
-
-The trees are trained on at most `TRAIN_DOCS` labelled documents a language (chosen by the hash of their key); rows that
-another language's tree codes better after a first training are left out of the second, as some labels are wrong.
-Comments and strings are read by the language that the text is really written in. Null and empty texts have no spans.
+Method: prediction by partial matching. Per language a context tree of orders 0 to ORDER over folded characters (letters of one
+case, all digits one, Han, kana and Cyrillic as they are) is counted on labelled rows. A character is coded in the longest context that has
+been seen in the language and followed by it, with an escape (method C) for each longer context that was seen without it, so the order
+adapts from character to character. Code lengths of the characters and escapes of every context are kept in sorted tables by 64-bit hashes,
+for all languages side by side. A span (a comment or a string literal) has the language whose tree codes it in fewest bits; spans
+without enough running words, and those that need as many bits a character as random letters of the language do, are undetermined.
+
+The trees are trained on at most `TRAIN_DOCS` labelled documents a language (chosen by the hash of their key), the first TRAIN_CHARS
+characters of each; rows that another language's tree codes better after a first training are left out of the second, as some
+labels are wrong. Comments and strings are read by the language that the text is really written in. Null and empty texts have no spans.
 """
 
 from __future__ import annotations
@@ -27,76 +28,135 @@ from siltworks.llm.parsing import language_of
 from siltworks.runtime import require, spread, table
 
 LANGUAGES = ("de", "en", "es", "fr", "ja", "pt", "ru", "zh")
-TRAIN_DOCS, TRAIN_CHARS, LIMIT, WORDS, CJK_CHARS = 300, 2000, 5.6, 5, 10
-
-_LATIN, _ACCENTS, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áàâãäåçéèêëíìîïñóòôõöúùûüßœæ¿¡", "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+TRAIN_DOCS, TRAIN_CHARS, WORDS, CJK_CHARS = 320, 2000, 5, 10
+#: Longest context; share of random pieces that the limit of undetermined spans may let through.
+ORDER, LIMIT_SHARE = 3, 0.02
 
 
 @lru_cache(maxsize=1)
-def symbols() -> tuple[np.ndarray, int]:
-    """Symbol of each UTF-16 unit, and their number: letters folded, digits, kana, Han and punctuation as classes."""
-    t = np.ones(65536, np.uint8)
-    names = _LATIN + _ACCENTS + _CYRILLIC
-    for i, c in enumerate(names):
-        t[ord(c)] = t[ord(c.upper()[:1])] = i + 7
-    t[ord("ß")] = names.index("ß") + 7
-    for c in " \t\n\r 　":
-        t[ord(c)] = 0
-    t[0x30:0x3A] = 2
-    t[0x3040:0x30A0], t[0x30A0:0x3100], t[0x3400:0xA000] = 3, 4, 5
-    for c in ".,;:!?。、，！？：":
-        t[ord(c)] = 6
-    return t, len(names) + 7
+def symbols() -> np.ndarray:
+    """Folded code of each UTF-16 unit."""
+    t = np.arange(65536, dtype=np.uint64)
+    for c in range(65536):
+        if 0xD800 <= c < 0xE000:
+            continue
+        x = chr(c)
+        if x.isspace():
+            t[c] = 32
+        elif x.isdigit():
+            t[c] = 48
+        elif len(y := x.lower()) == 1:
+            t[c] = ord(y)
+    return t
 
 
 def _units(text: str) -> np.ndarray:
-    return symbols()[0][np.frombuffer(text.encode("utf-16-le", "replace"), np.uint16)]
-
-
-def context_tree(texts: list[str]) -> np.ndarray:
-    """Bits of each symbol after each two symbols, by prediction by partial matching with escapes of method C."""
-    n = symbols()[1]
-    c3, c2, c1 = np.zeros((n, n, n)), np.zeros((n, n)), np.zeros(n)
-    for t in texts:
-        s = np.concatenate([[0, 0], _units(t), [0]]).astype(np.int64)
-        np.add.at(c3, (s[:-2], s[1:-1], s[2:]), 1)
-    c2, c1 = c3.sum(0), c3.sum((0, 1))
-    p = np.full(n, 1.0 / n)
-    p = _blend(c1[None], p)[0]
-    p2 = _blend(c2, p[None])
-    return -np.log2(_blend(c3, p2[None])).astype(np.float32)
-
-
-def _blend(counts: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    total, kinds = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-    return np.where(total > 0, (counts + kinds * lower) / np.maximum(total + kinds, 1), lower)
-
-
-def code_lengths(spans: list[str], trees: np.ndarray) -> np.ndarray:
-    """(spans x languages): bits a character. trees: (n, n, n, languages)."""
-    if not spans:
-        return np.zeros((0, trees.shape[-1]))
-    u = [np.concatenate([[0, 0], _units(s)]) for s in spans]
-    size = np.array([len(x) for x in u])
-    s = np.concatenate(u).astype(np.int64)
-    n = trees.shape[0]
-    bits = trees.reshape(-1, trees.shape[-1])[(s[:-2] * n + s[1:-1]) * n + s[2:]]
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    sums = np.concatenate([np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)])
-    ends = np.minimum(start + size - 2, len(bits))
-    return (sums[ends] - sums[start]) / np.maximum(size - 2, 1)[:, None]
-
-
-def train(rows: list[tuple[str, str]]) -> np.ndarray:
-    """Trees of LANGUAGES from (language, text) rows; languages without rows get uniform ones."""
-    def fit(r: list[tuple[str, str]]) -> np.ndarray:
-        return np.stack([context_tree([t for la, t in r if la == lang]) for lang in LANGUAGES], axis=-1)
-
+    return symbols()[np.frombuffer(text.encode("utf-16-le", "replace"), np.uint16)]
+
+
+def _hashes(u: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n symbols that end at each place; blanks stand before the first."""
+    h = np.full(len(u), n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n - 1, -1, -1):
+            x = np.concatenate([np.full(min(k, len(u)), 32, np.uint64), u[: max(0, len(u) - k)]])
+            h = (h ^ x) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h
+
+
+def _classes(u: np.ndarray) -> np.ndarray:
+    """Class of each symbol: Latin, Cyrillic, kana, Han, other letters, and what isn't a letter."""
+    return np.select([(u >= 0x400) & (u < 0x530), (u >= 0x3040) & (u < 0x3100), (u >= 0x3400) & (u < 0xA000), (u >= 97) & (u < 123) | (u >= 0xAA) & (u < 0x250), u >= 0x250], [1, 2, 3, 0, 4], 5)
+
+
+class _Table:
+    """Code lengths by hash, a column a language; 0 where a language hasn't seen the key."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.keys = np.unique(np.concatenate([k for k, _ in parts])) if parts else np.zeros(0, np.uint64)
+        self.bits = np.zeros((len(self.keys) + 1, len(parts)), np.float16)
+        for j, (k, b) in enumerate(parts):
+            self.bits[np.searchsorted(self.keys, k), j] = np.maximum(b, 1e-3)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        i = np.searchsorted(self.keys, h)
+        there = i < len(self.keys)
+        there[there] = self.keys[i[there]] == h[there]
+        return self.bits[np.where(there, i, len(self.keys))]
+
+
+class Trees:
+    """Context trees of all languages. bits[n]: of a symbol after its last n, where seen; away[n]: of the escape from a context of n.
+
+    new: bits of a symbol that a language hasn't shown, by its class: as rare as the class there, and one of twice the symbols of the class.
+    limit: by language, the bits a character that random symbols need.
+    """
+
+    def __init__(self, bits: list[_Table], away: list[_Table], new: np.ndarray, alphabets: list[np.ndarray]):
+        self.bits, self.away, self.new, self.alphabets = bits, away, new, alphabets
+        self.limit = np.full(len(LANGUAGES), np.inf)
+
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str]]) -> Trees:
+        bits: list[list] = [[] for _ in range(ORDER + 1)]
+        away: list[list] = [[] for _ in range(ORDER + 1)]
+        new, alphabets = np.zeros((6, len(LANGUAGES)), np.float32), []
+        for j, lang in enumerate(LANGUAGES):
+            texts = [_units(t) for la, t in rows if la == lang]
+            u = np.concatenate([np.concatenate([x, [np.uint64(32)]]) for x in texts]) if texts else np.zeros(0, np.uint64)
+            alphabets.append(np.unique(u))
+            share, kinds_of = (np.bincount(_classes(x), minlength=6) + 1 for x in (u, alphabets[-1]))
+            new[:, j] = -np.log2(share / share.sum()) + np.log2(2 * kinds_of)
+            before = np.concatenate([[np.uint64(32)], u])[: len(u)]
+            for n in range(ORDER + 1):
+                gram, first, count = np.unique(_hashes(u, n + 1), return_index=True, return_counts=True)
+                context, of, total = np.unique(_hashes(before, n), return_inverse=True, return_counts=True)
+                own = of.ravel()[first]
+                kinds = np.bincount(own, minlength=len(context))
+                bits[n].append((gram, -np.log2(count / (total[own] + kinds[own]))))
+                away[n].append((context, -np.log2(kinds / (total + kinds))))
+        return cls([_Table(p) for p in bits], [_Table(p) for p in away], new, alphabets)
+
+    def code_lengths(self, spans: list[str]) -> np.ndarray:
+        """(spans x languages): bits a character."""
+        if not spans:
+            return np.zeros((0, len(LANGUAGES)))
+        parts = [_units(s) for s in spans]
+        size = np.array([len(x) + 1 for x in parts])
+        u = np.concatenate([np.concatenate([[np.uint64(32)], x]) for x in parts])
+        before = np.concatenate([[np.uint64(32)], u[:-1]])
+        out = np.zeros((len(u), len(LANGUAGES)), np.float32)
+        open_ = np.ones(out.shape, bool)
+        for n in range(ORDER, -1, -1):
+            got = self.bits[n](_hashes(u, n + 1))
+            hit = got > 0
+            out += np.where(open_, np.where(hit, got, self.away[n](_hashes(before, n))), 0)
+            open_ &= ~hit
+        out += np.where(open_, self.new[_classes(u)], 0)
+        ends = np.cumsum(size)
+        sums = np.concatenate([np.zeros((1, out.shape[1])), np.cumsum(out, axis=0, dtype=np.float64)])
+        # the blank before a span isn't part of it
+        return (sums[ends] - sums[ends - size + 1]) / np.maximum(size - 1, 1)[:, None]
+
+    def calibrate(self, seed: int = 1) -> Trees:
+        """Sets the limits: what only LIMIT_SHARE of random pieces of a language's symbols need less than."""
+        rng = np.random.default_rng(seed)
+        for j, a in enumerate(self.alphabets):
+            letters = a[(_classes(a) < 5)]
+            if len(letters):
+                pieces = ["".join(map(chr, rng.choice(letters, 40))) for _ in range(300)]
+                self.limit[j] = np.quantile(self.code_lengths(pieces)[:, j], LIMIT_SHARE)
+        return self
+
+
+def train(rows: list[tuple[str, str]]) -> Trees:
+    """Trees of LANGUAGES from (language, text) rows; a language without rows codes nothing cheaply."""
     # a stray Latin word isn't part of a language with a script of its own
     rows = [(la, re.sub(r"[A-Za-z]+", " ", t) if la in ("zh", "ja", "ru") else t) for la, t in rows]
-    trees = fit(rows)
-    best = code_lengths([t for _, t in rows], trees).argmin(1)
-    return fit([r for r, b in zip(rows, best) if LANGUAGES[b] == r[0]])
+    best = Trees.fit(rows).code_lengths([t for _, t in rows]).argmin(1)
+    kept = [r for r, b in zip(rows, best) if LANGUAGES[b] == r[0]]
+    return Trees.fit(kept).calibrate()
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id") -> list[tuple[str, str]]:
@@ -108,7 +168,7 @@ def training_rows(docs: DataFrame, key: str = "doc_id") -> list[tuple[str, str]]
     ok = docs.select(key, lang.alias("lang"), sentence.alias("text")).filter(F.col("lang").isin(*LANGUAGES) & (F.length("text") > 150) & F.col("text").rlike(r"[.。]\s|。"))
     salt = F.pmod(F.xxhash64(key), F.lit(64))
     w = Window.partitionBy("lang", "salt").orderBy(F.xxhash64(key), key)
-    few = ok.withColumn("salt", salt).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max(1, TRAIN_DOCS // 64 + 1)).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), key)
+    few = ok.withColumn("salt", salt).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= TRAIN_DOCS // 64).select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), key)
     return sorted((r[0], r[1]) for r in few.collect())
 
 
@@ -118,10 +178,11 @@ _STR = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 _READ = {
     "hash": re.compile(r'("""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|' + _STR + r")|((?<![\w$\\])#[^\n]*)"),
     "slash": re.compile(r"(" + _STR + r"|`(?:[^`\\]|\\.)*`)|((?<!:)//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"),
-    "json": re.compile(r'("(?:[^"\\\n]|\\.)*")(?!\s*:)|(?!)()'),
+    # a key is read first and is no group; were it only passed over, its closing quote would open a string
+    "json": re.compile(r'"(?:[^"\\\n]|\\.)*"\s*:|("(?:[^"\\\n]|\\.)*")|(?!)()'),
 }
 _YAML_VALUE = re.compile(r"^\s*(?:- +)*(?:[^\s#:\"'][^#:\n]*:\s+|- +)([^\s\"'#\[{|>&*!][^\n#]*)", re.M)
-_SIGNS = (("go", re.compile(r"^package \w+\s*$", re.M)), ("java", re.compile(r"^\s*(?:public |import java|package [\w.]+;)", re.M)), ("c", re.compile(r"^\s*#\s*(?:include|define|ifndef)\b", re.M)), ("python", re.compile(r"^(?:def \w+\(|class \w+[(:]|import \w+|from \w+ import|    def )", re.M)), ("javascript", re.compile(r"\b(?:const|let|var) \w+ =|=> ?\{|\bfunction\b|^exports\.|\"use strict\"", re.M)), ("shell", re.compile(r"\A#!|^\s*(?:fi|done|esac)\s*$", re.M)))
+_SIGNS = (("go", re.compile(r"^package \w+\s*$", re.M)), ("java", re.compile(r"^\s*(?:public |import java|package [\w.]+;)", re.M)), ("c", re.compile(r"^\s*#\s*(?:include|define|ifndef)\b", re.M)), ("python", re.compile(r"^(?:def \w+\(|class \w+[(:]|import [\w.]+(?: as \w+)?[ \t]*\r?$|from [\w.]+ import|    def )", re.M)), ("javascript", re.compile(r"\b(?:const|let|var) \w+ =|=> ?\{|\bfunction\b|^exports\.|\"use strict\"", re.M)), ("shell", re.compile(r"\A#!|^\s*(?:fi|done|esac)\s*$", re.M)), ("yaml", re.compile(r"^[\w.-]+:[ \t]*\r?\n[ \t]+(?:-[ \t]|[\w.-]+:)", re.M)))
 _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 _NOISE = re.compile(r"https?://\S+|\S*[/\\_=<>{}()\[\]@#$%^&|+~`]\S*|\S*\d\S*|\b\w*[a-z][A-Z]\w*\b|\S{30,}")
 _CJK = re.compile("[぀-ヿ㐀-鿿々ー]")
@@ -147,6 +208,8 @@ def spans(text: str, lang: str) -> list[str]:
     kind = "json" if lang == "json" else "hash" if lang in ("python", "shell", "yaml") else "slash"
     out = []
     for m in _READ[kind].finditer(text):
+        if m[1] is None and m[2] is None:
+            continue
         if m[1] is not None:
             s = m[1]
             q = 3 if s[:3] in ('"""', "'''") else 1
@@ -158,8 +221,7 @@ def spans(text: str, lang: str) -> list[str]:
                 s = re.sub(r"\\[nrt]", " ", s).replace('\\"', '"')
         else:
             s = re.sub(r"(?m)^\s*(?:/?\*+/?|//+|#+!?)|\*/\s*$", " ", m[2])
-        if len(s) > 9:
-            out.append(s)
+        out.append(s)
     if lang == "yaml":
         out += [m[1] for m in _YAML_VALUE.finditer(text)]
     return out
@@ -193,10 +255,11 @@ def read_files(df: DataFrame, rows: list[tuple[str, str]], key: str = "id", text
                 for s in spans(t, written_in(t, language_of(la, p))):
                     if r := running(s):
                         of.append(i), got.append(r), size.append(len(s))
-            bits = code_lengths(got, trees)
+            bits = trees.code_lengths(got)
             sums: dict[tuple[int, str], list[int]] = {}
             for i, n, x in zip(of, size, bits):
-                lang = LANGUAGES[int(x.argmin())] if x.min() <= LIMIT else "und"
+                k = int(x.argmin())
+                lang = LANGUAGES[k] if x[k] <= trees.limit[k] else "und"
                 q = sums.setdefault((i, lang), [0, 0])
                 q[0] += 1
                 q[1] += n
