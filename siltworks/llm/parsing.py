@@ -1,15 +1,16 @@
 """Problem 7: files that aren't valid in the language they state.
 
 Method: parsing with derivatives. A language is a grammar whose productions each begin with a token (Greibach form), so the
-derivative of what may still come by the next token is a choice of production tails. States are interned linked lists of
-nonterminals and derivatives are memoised by (nonterminal, token), across all files of a worker. An empty derivative is an
-error at exactly that token; a state at the end of the text that isn't nullable means that the text was cut off.
+derivative of what may still come by the next token is the union of the tails of all productions that begin with it, also of
+those behind nonterminals that may be empty. A state is the set of all that may still come: interned linked lists of nonterminals;
+derivatives are memoised by (state, token), across all files of a worker. An empty derivative is an error at exactly that
+token; a state at the end of the text that isn't nullable means that the text was cut off.
 
 Each language has a lexer that gives token classes (also for line ends and indentation where they matter) and a grammar
-built from tables: which class may follow which within a block, parentheses, brackets or an initialiser. The grammars accept
-some invalid programs, never knowingly a valid one less. For Python and JSON the language's own parser then checks the
-texts that the grammar accepts. A null language falls back on the file's ending; languages without a grammar are not judged.
-Null and blank texts are no cases.
+built from tables: which class may follow which within a block, parentheses, the head of a loop, brackets or an initialiser; where
+a brace may open a block or a value, both stay open until the tokens decide. The grammars accept some invalid programs, never knowingly
+a valid one less. For Python and JSON the language's own parser then checks the texts that the grammar accepts. A null language
+falls back on the file's ending; languages without a grammar are not judged. Null and blank texts are no cases.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import ast
 import json
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,62 +48,74 @@ def language_of(language: str | None, path: str | None) -> str | None:
 # --- derivatives
 
 
+Stack = tuple  # () or (nonterminal, Stack)
+State = tuple  # of Stacks; () is the empty derivative
+
+
 class Grammar:
-    """Productions by nonterminal and first token; a nonterminal in `empty` may also derive nothing."""
+    """Productions by nonterminal and first token: a tail of nonterminals, or a list of such tails; a nonterminal in `empty` may also derive nothing."""
+
+    MOST = 400_000
 
-    def __init__(self, start: object, rules: dict[object, dict[str, tuple]], empty: set):
-        self.start, self.rules, self.empty = start, rules, empty
-        self.nil: tuple = ()
-        self.seen: dict[tuple, tuple] = {}
-        self.memo: dict[tuple[int, str], tuple | None] = {}
+    def __init__(self, start: object, rules: dict[object, dict[str, tuple | list]], empty: set):
+        self.start, self.empty = start, empty
+        self.rules = {n: {t: tails if isinstance(tails, list) else [tails] for t, tails in by.items()} for n, by in rules.items()}
+        self.lists: dict[tuple, Stack] = {}
+        self.states: dict[frozenset, State] = {}
+        self.memo: dict[tuple[int, str], State] = {}
 
-    def cons(self, head: object, tail: tuple) -> tuple:
-        """An interned list: equal states are one object."""
+    def cons(self, head: object, tail: Stack) -> Stack:
+        """An interned list: equal ones are one object."""
         key = (head, id(tail))
-        got = self.seen.get(key)
+        got = self.lists.get(key)
         if got is None:
-            if len(self.seen) > 400_000:
-                self.seen.clear()
-                self.memo.clear()
-            got = self.seen[key] = (head, tail)
+            got = self.lists[key] = (head, tail)
+        return got
+
+    def state(self, stacks: list[Stack]) -> State:
+        """The interned set of these lists."""
+        key = frozenset(map(id, stacks))
+        got = self.states.get(key)
+        if got is None:
+            got = self.states[key] = tuple({id(x): x for x in stacks}.values())
+        return got
+
+    def derive(self, state: State, token: str) -> State:
+        """The state after token."""
+        out: list[Stack] = []
+        for at in state:
+            while at:
+                for tails in self.rules[at[0]].get(token, ()):
+                    new = at[1]
+                    for n in reversed(tails):
+                        new = self.cons(n, new)
+                    out.append(new)
+                if at[0] not in self.empty:
+                    break
+                at = at[1]
+        got = self.memo[(id(state), token)] = self.state(out)
         return got
 
-    def derive(self, state: tuple, token: str) -> tuple | None:
-        """The state after token, or None (the empty derivative)."""
-        key = (id(state), token)
-        if key in self.memo:
-            kept, out = self.memo[key]
-            if kept is state:
-                return out
-        at, out = state, None
-        while at:
-            tails = self.rules[at[0]].get(token)
-            if tails is not None:
-                out = at[1]
-                for n in reversed(tails):
-                    out = self.cons(n, out)
-                break
-            if at[0] not in self.empty:
-                break
-            at = at[1]
-        self.memo[key] = (state, out)
-        return out
-
-    def nullable(self, state: tuple) -> bool:
-        while state:
-            if state[0] not in self.empty:
-                return False
-            state = state[1]
-        return True
+    def nullable(self, state: State) -> bool:
+        for at in state:
+            while at and at[0] in self.empty:
+                at = at[1]
+            if not at:
+                return True
+        return False
 
     def check(self, tokens: list[str]) -> int | None:
         """None if the tokens are a sentence; else the index of the failing token, or their number if the end comes too soon."""
-        state = self.cons(self.start, self.nil)
-        derive, memo = self.derive, self.memo
+        if len(self.lists) > self.MOST or len(self.memo) > self.MOST:
+            # states live as long as their tables, so that an id always names the same one
+            self.lists.clear(), self.states.clear(), self.memo.clear()
+        state = self.state([self.cons(self.start, ())])
+        get = self.memo.get
         for i, t in enumerate(tokens):
-            got = memo.get((id(state), t))
-            nxt = got[1] if got is not None and got[0] is state else derive(state, t)
+            nxt = get((id(state), t))
             if nxt is None:
+                nxt = self.derive(state, t)
+            if not nxt:
                 return i
             state = nxt
         return None if self.nullable(state) else len(tokens)
@@ -111,31 +125,36 @@ class Grammar:
 _OPENERS = {"(": ")", "[": "]", "{": "}"}
 
 
-def bracket_grammar(follow: dict[str, set[str]], block: dict[str, str], may_end: dict[str, set[str]], extra: dict[str, dict[str, set[str]]] | None = None) -> Grammar:
+def bracket_grammar(follow: dict[str, set[str]], block: dict[str, tuple[str, ...]], may_end: dict[str, set[str]], heads: dict[str, str], not_in: dict[str, set[str]]) -> Grammar:
     """A grammar of nested contexts. A nonterminal (context, last class) says what may follow within the context.
 
-    follow: by class, the classes that may come next. block: by the class before `{`, the context that it opens.
-    may_end: by context, the classes after which its closing bracket may come.
+    follow: by class, the classes that may come next. block: by the class before `{`, the contexts that it may open.
+    may_end: by context, the classes after which its closing bracket may come. heads: by the class before `(`, the context that it
+    opens, else P, which has no semicolon. S has any number of them; the head of a loop has none (F0) or two (F2), and between them is F1. not_in: by context, the classes that it never has.
     """
-    close = {"P": ")", "K": "]", "B": "}", "I": "}", "L": "}"}
+    close = {"P": ")", "S": ")", "F0": ")", "F1": ")", "F2": ")", "K": "]", "B": "}", "I": "}", "L": "}"}
+    may_end = {"S": may_end["P"], "F0": may_end["P"], "F2": may_end["P"]} | may_end
     rules: dict[object, dict[str, tuple]] = {}
     empty: set = set()
     classes = set(follow)
     for ctx in ("F", *close):
         for last in classes | {"^"}:
             out: dict[str, tuple] = {}
-            for t in follow["^" if last == "^" else last] | (extra or {}).get(ctx, {}).get(last, set()):
+            for t in follow[last] - not_in.get(ctx, set()):
                 if t in (")", "]", "}"):
                     continue
                 if t in _OPENERS:
-                    inner = "P" if t == "(" else "K" if t == "[" else block.get(last if not (ctx == "I" and last in ("^", ",")) else "=", "L")
-                    out[t] = ((inner, "^"), (ctx, _OPENERS[t]))
+                    inner = (heads.get(last, "P"),) if t == "(" else ("K",) if t == "[" else block.get(last if not (ctx == "I" and last in ("^", ",")) else "=", ("L",))
+                    out[t] = [((x, "^"), (ctx, _OPENERS[t])) for x in inner]
+                elif t == ";" and ctx in ("P", "F0", "F1", "F2"):
+                    if ctx in ("F0", "F1"):
+                        out[t] = (("F1" if ctx == "F0" else "F2", ";"),)
                 else:
                     out[t] = ((ctx, t),)
             if ctx == "F":
                 if last == "^" or last in may_end["F"]:
                     empty.add((ctx, last))
-            elif last == "^" or last in may_end[ctx]:
+            elif ctx in may_end and (last == "^" and ctx != "F0" or last in may_end[ctx]):
                 out[close[ctx]] = ()
             rules[(ctx, last)] = out
     return Grammar(("F", "^"), rules, empty)
@@ -143,7 +162,7 @@ def bracket_grammar(follow: dict[str, set[str]], block: dict[str, str], may_end:
 
 def _tables(lang: str) -> Grammar:
     operand = {"id", "num", "str", "re"}
-    starts = operand | {"kw", "kwc", "fn", "(", "[", "{", "sign", "pre", "inc", "at"}
+    starts = operand | {"kw", "kwc", "for", "try", "fn", "(", "[", "{", "sign", "pre", "inc", "at"}
     after = {"op", "sign", "=", "(", "[", ",", ";", ":", "?", ".", "arrow", "inc"}
     semi = lang in ("c", "java")
     follow: dict[str, set[str]] = {}
@@ -151,39 +170,49 @@ def _tables(lang: str) -> Grammar:
     follow["num"] = after
     follow["str"] = after | ({"str", "id"} if lang == "c" else set())
     follow["re"] = after
-    follow[")"] = after | operand | {"kw", "kwc", "fn", "{", "pre", "at"}
+    follow[")"] = after | operand | {"kw", "kwc", "for", "try", "fn", "{", "pre", "at"}
     follow["]"] = after | {"id", "{", "kw", "fn"} | ({"str", "num"} if lang == "c" else set()) | ({"str"} if lang == "go" else set())
     follow["}"] = starts | after | ({"op", "id"})
-    follow["op"] = starts - {"kwc", "at"}
-    follow["sign"] = starts - {"kwc", "at"} | ({",", "="} if lang == "c" else set()) | ({"kw"})
-    follow["="] = starts - {"kwc"}
-    follow["pre"] = starts - {"kwc", "at"}
+    follow["op"] = starts - {"kwc", "for", "try", "at"}
+    follow["sign"] = starts - {"kwc", "for", "try", "at"} | ({",", "="} if lang == "c" else set()) | ({"kw"})
+    follow["="] = starts - {"kwc", "for", "try"}
+    follow["pre"] = starts - {"kwc", "for", "try", "at"}
     follow["inc"] = after | operand | {"(", "{"}
-    follow["."] = {"id", "kw", "fn", "(", "[", "sign", "kwc", "num"} if lang in ("javascript", "java", "go") else {"id", "num", "="}
+    follow["."] = {"id", "kw", "fn", "(", "[", "sign", "kwc", "for", "try", "num"} if lang in ("javascript", "java", "go") else {"id", "num", "="}
     follow["."] |= {"op", "?"} if lang == "java" else set()
-    follow[","] = starts - {"kwc"} | ({","} if lang == "javascript" else set()) | ({"."} if lang in ("c", "javascript") else set())
-    follow["?"] = starts - {"kwc"} | {".", ":"} | ({"op", ")", ","} if lang == "java" else set())
+    follow[","] = starts - {"kwc", "for", "try"} | ({","} if lang == "javascript" else set()) | ({"."} if lang in ("c", "javascript") else set())
+    follow["?"] = starts - {"kwc", "for", "try"} | {".", ":"} | ({"op", ")", ","} if lang == "java" else set())
     follow[":"] = starts | {";"}
-    follow["arrow"] = starts - {"kwc"}
+    follow["arrow"] = starts - {"kwc", "for", "try"}
     follow["at"] = {"id", "kw"}
     follow[";"] = starts | {";"}
     follow["^"] = starts | {";"} | ({".", ","} if lang in ("javascript", "c", "java") else {"."})
     follow["kw"] = starts | {";", ":", "sign", "="} | ({"op", ",", "."} if lang in ("go", "java", "c", "javascript") else set())
     follow["fn"] = {"id", "(", "sign", "{", "[", ",", "kw", "op"}
     follow["kwc"] = {"("} if lang != "go" else starts | {";"}
+    follow["for"] = {"("} | ({"kw"} if lang == "javascript" else set())
+    follow["try"] = {"(", "{"}
     if lang == "go":
         follow["num"] |= {"{"}
         follow["str"] |= {"{"}
     done = operand | {")", "]", "}", "inc", "kw"}
-    block = dict.fromkeys(follow, "L")
+    block: dict[str, tuple[str, ...]] = dict.fromkeys(follow, ("L",))
     if semi:
-        block = dict.fromkeys(follow, "B") | {"=": "I", ",": "I", "(": "I", "]": "I", "op": "I", ":": "B", "^": "B"}
+        block = dict.fromkeys(follow, ("B",)) | dict.fromkeys(("=", ",", "(", "]", "op"), ("I",))
+        if lang == "c":
+            block[")"] = ("B", "I")  # the body of a function, or a literal of the type in parentheses
     may_end = {"P": done | {";", "^"} | ({"sign"} if lang in ("c", "go") else set()) | ({","} if lang in ("go", "javascript") else set()) | ({"."} if lang in ("c", "go", "java", "javascript") else set()) | ({"op", "fn"} if lang in ("java", "go") else set()), "K": done | {"op", "^"} - {"op"} | ({","} if lang in ("go", "javascript") else set()) | ({"."} if lang == "go" else set()) | ({":"} if lang == "go" else set())}
     may_end["I"] = done | {","}
     may_end["B"] = {";", "}", "^", ":"}
     may_end["L"] = done | {",", ";", "^", ":", "fn"}
     may_end["F"] = {";", "}", "^"} | (done if lang in ("javascript", "go") else set()) | ({"id", ")", "str"} if lang == "c" else set())
-    return bracket_grammar(follow, block, may_end)
+    # a macro's arguments may hold semicolons, and those that line ends stand for are inserted in parentheses too
+    heads = {"c": {"for": "F0", "id": "S"}, "java": {"for": "F0", "try": "S"}, "javascript": {"for": "F0", "kw": "F0"}, "go": dict.fromkeys(follow, "S")}[lang]
+    not_in: dict[str, set[str]] = {}
+    if lang == "c":  # a literal has no statements, and a loop no head of one part
+        not_in["I"] = {"kw", "kwc", "for"}
+        may_end["F0"] = set()
+    return bracket_grammar(follow, block, may_end, heads, not_in)
 
 
 _KWC = {"c": "if while for switch", "java": "if while for switch catch synchronized", "javascript": "if while for switch catch with", "go": ""}
@@ -222,6 +251,12 @@ _GO_ON = frozenset(("op", ".", "?", ":", ",", ")", "]", "=", "arrow", "sign", "{
 @lru_cache(maxsize=8)
 def _words(lang: str) -> dict[str, str]:
     out = dict.fromkeys(_KW[lang].split(), "kw") | dict.fromkeys(_KWC[lang].split(), "kwc")
+    if "for" in _KWC[lang].split():
+        out["for"] = "for"
+    if lang == "java":
+        out["try"] = "try"
+    if lang == "c":
+        out["sizeof"] = "pre"
     if lang == "javascript":
         out["function"] = "fn"
     if lang == "go":
@@ -371,7 +406,8 @@ def lex_shell(text: str) -> tuple[list[str], list[int]]:
         command = t in ("if", "then", "elif", "else", "while", "until", "do", "{", "!") or t == "word" and command and bool(re.fullmatch(r"\w+\+?=.*", w, re.S))
         if t in ("fi", "done", "esac", "}"):
             command = False
-    return out, at
+    # the end of a text ends its last line
+    return (out, at) if out and out[-1] == "nl" else ([*out, "nl"], [*at, end])
 
 
 def _shell_grammar() -> Grammar:
@@ -383,18 +419,22 @@ def _shell_grammar() -> Grammar:
         "joined": {"nl": ("joined",)} | dict(start), "target": {"word": ()}, "then": {"then": ()}, "do": {"do": (), "nl": ("do",)}, "done": {"done": ()}, "}": {"}": ()}, ")": {")": ()}, "in": {"in": (), "nl": ("in",)},
         "iftail": {"elif": ("body", "then", "body", "iftail"), "else": ("body", "fi"), "fi": ()}, "fi": {"fi": ()}, "forname": {"word": ()}, "forin": {"in": ("words",), "nl": ("forin",)}, "words": {"word": ("words",), "nl": ()},
         "arms": {"nl": ("arms",), "esac": (), "word": ("pattern", "list", "armend"), "(": ("patword", "pattern", "list", "armend")}, "patword": {"word": ()}, "pattern": {")": (), "join": ("patword", "pattern")}, "armend": {";;": ("arms",), "esac": ()}, "fnbody": {"nl": ("fnbody",), "{": ("body", "}"), "(": ("body", ")")}}
-    return Grammar("list", rules, {"list", "tail", "forin"})
+    return Grammar("list", rules, {"list", "forin"})
 
 
 _YAML_KEY = re.compile(r"""(?:"(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^\s\[\]{},#&*!|>'"%@`:-][^\n#:]*?(?::(?! |$)[^\n#:]*?)*|-[^\s][^\n:]*?|<<)\s*:(?=\s|$)""")
 
 
+_DOUBLE, _SINGLE, _CONFLICT = re.compile(r'"(?:[^"\\]|\\[\s\S])*"'), re.compile(r"'(?:[^']|'')*'"), re.compile(r"(?:<{7}|>{7}|={7})")
+
+
 def lex_yaml(text: str) -> tuple[list[str], list[int]]:
     """Line tokens with in- and dedents: key (without a value), pair, item (a dash), value; `bad` where a line can't stand."""
     out: list[str] = []
     at: list[int] = []
     stack = [-1]
-    lines = text.replace("\r\n", "\n").split("\n")
+    joined = text.replace("\r\n", "\n")
+    lines = joined.split("\n")
     pos, i = 0, 0
     base = [0]
     for x in lines:
@@ -444,18 +484,27 @@ def lex_yaml(text: str) -> tuple[list[str], list[int]]:
                 i += 1
             out.append("pair" if key else "value"), at.append(base[i - 1])
             continue
-        if value[:1] in ('"', "'", "[", "{"):
-            k, flow = i, value
-            while True:
-                rx = r'"(?:[^"\\]|\\[\s\S])*"\s*(?:#.*)?$' if value[0] == '"' else r"'(?:[^']|'')*'\s*(?:#.*)?$" if value[0] == "'" else None
-                if rx and re.match(rx, flow) or not rx and _balanced(flow):
-                    break
-                if rx and re.match(rx.split(r"\s*")[0], flow):
-                    return bad(i)
+        if value[:1] in ('"', "'"):
+            # the closing quote, in one search from the opening one to the end of the text
+            start = base[i] + line.index(value[:1], pos + (key.end() if key else 0))
+            whole = (_DOUBLE if value[0] == '"' else _SINGLE).match(joined, start)
+            if not whole:
+                return bad(i)
+            k = bisect_right(base, whole.end() - 1) - 1
+            rest_of = joined[whole.end() : base[k + 1] - 1]
+            if not re.fullmatch(r"\s*(?:#.*)?", rest_of) or any(_CONFLICT.match(x) for x in lines[i + 1 : k + 1]):
+                return bad(i)
+            i = k
+        elif value[:1] in ("[", "{"):
+            k, parts = i, [value]
+            open_ = _depth(value)
+            # the whole is read again only where the brackets of its lines are even
+            while open_ > 0 or not _balanced("\n".join(parts)):
                 k += 1
-                if k >= len(lines) or k > i + 400 and rx or re.match(r"(?:<{7}|>{7}|={7})", lines[k]):
+                if k >= len(lines) or _CONFLICT.match(lines[k]):
                     return bad(i)
-                flow += "\n" + lines[k]
+                parts.append(lines[k])
+                open_ += _depth(lines[k])
             i = k
         elif value[:1] in ("@", "`", "%", "]", "}", ",") or re.match(r"[^\"'#]*: ", value) and key or value.endswith(":") and key:
             return bad(i)
@@ -474,6 +523,12 @@ def lex_yaml(text: str) -> tuple[list[str], list[int]]:
     return out, at
 
 
+def _depth(line: str) -> int:
+    """Brackets opened less those closed, without the quoted ones of the line."""
+    t = re.sub(r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|\s#.*', "s", line)
+    return t.count("[") + t.count("{") - t.count("]") - t.count("}")
+
+
 def _balanced(flow: str) -> bool:
     t = re.sub(r'"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\']|\'\')*\'', "s", flow)
     t = re.sub(r"\s#[^\n]*", "", t)
