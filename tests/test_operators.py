@@ -224,3 +224,38 @@ def test_condor_and_consistent_chat(spark):
     assert len(got) == 18 and {r.difficulty for r in got} == {"Easy", "Medium", "Hard"}
     chat = dialogues.consistent_chat(spark, {"c": ["t"]}, lambda p: F.lit('["q1", "q2", "q3"]'), lambda p: F.lit('["a1", "a2"]'), 2).collect()
     assert len(chat) == 2 and [m.content for m in chat[0].conversation] == ["q1", "a1", "q2", "a2"]
+
+
+def test_sources_of_several_kinds(spark, tmp_path):
+    import zipfile
+
+    import pandas as pd
+
+    from siltworks.sources import files
+
+    pd.DataFrame({"a": [1, 2], "b": ["x", "y"]}).to_pickle(f"{tmp_path}/p.pkl")
+    pd.DataFrame({"a": [3], "b": ["z"]}).to_pickle(f"{tmp_path}/q.pkl")
+    assert files.open_source(spark, [f"{tmp_path}/p.pkl", f"{tmp_path}/q.pkl"]).count() == 3
+    (tmp_path / "one.json").write_text('[{"a": 1},\n {"a": 2}]')
+    (tmp_path / "lines.jsonl").write_text('{"a": 3}\n{"a": 4, "b": "x"}\n')
+    got = files.open_source(spark, [f"{tmp_path}/lines.jsonl", f"{tmp_path}/one.json"])
+    assert sorted(r.a for r in got.collect()) == [1, 2, 3, 4]
+    with zipfile.ZipFile(f"{tmp_path}/w.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", '<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><si><t>id</t></si><si><t>text</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row><row><c r="A2"><v>7</v></c><c r="B2" t="s"><v>2</v></c></row><row><c r="A3"><v>8</v></c></row></sheetData></worksheet>')
+    assert [tuple(r) for r in files.open_source(spark, f"{tmp_path}/w.xlsx").orderBy("id").collect()] == [(7, "ab"), (8, None)]
+    rows = files.generate_rows(spark, lambda p: ({"p": p, "i": i} for i in range(5)), "p int, i int", 3, 2)
+    assert rows.count() == 15 and rows.select("p").distinct().count() == 3
+    assert files.open_media(spark, str(tmp_path), ".pkl").count() == 2
+    with pytest.raises(ValueError):
+        files.open_source(spark, "x.unknown")
+
+
+def test_pipelines_go_on_where_they_ended(spark, tmp_path, edges):
+    from siltworks.plans.pipeline import run_pipeline, step_names
+
+    first = [("content_null_filter", {"input_key": "text"})]
+    steps = [*first, ("lowercase_refiner", {"input_key": "text"})]
+    assert run_pipeline(edges, first, f"{tmp_path}/p").count() == run_pipeline(edges.limit(0), steps, f"{tmp_path}/p").count() > 0
+    assert run_pipeline(edges.limit(0), steps, f"{tmp_path}/p", 0).count() == 0
+    assert step_names(steps)[0] == step_names(first)[0] != step_names([("content_null_filter", {"input_key": "t"})])[0]
