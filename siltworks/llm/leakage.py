@@ -10,7 +10,7 @@ for each block of two neighbouring words how far the search may jump; a block th
 patterns with this suffix; each is then compared directly and widened to the longest run. Items are grouped into
 classes by length, so a short item doesn't shorten the jumps made for long ones.
 
-The patterns are those of the test items only: `max_items` bounds what is sent to the executors, and more items are
+The patterns are those of the test items only: `max_items` and `max_chars` bound what is sent to the executors, and more items are
 searched in blocks of that size, each block against all documents.
 """
 
@@ -114,21 +114,26 @@ class WuManber:
         return found
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", max_items: int = 20_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "item_text", max_items: int = 20_000, max_chars: int = 32_000_000) -> DataFrame:
     """(key, item) of each item that a document holds, each once.
 
     items has a row an item or form of it; several rows of one item count as its forms. Items are read to the driver in
-    blocks of at most max_items rows, by key range, and each block is searched in all documents.
+    blocks by hash, of about half of max_items rows and max_chars characters, and each block is searched in all documents; a block that
+    outgrows a bound all the same (one item may) is an error.
     """
     require(docs, key, text)
     require(items, item, item_text)
     items = items.select(item, item_text).filter(F.col(item).isNotNull() & F.col(item_text).isNotNull())
-    blocks = max(1, -(-items.count() // (max_items // 2)))
+    items = items.distinct()
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()
+    blocks = max(1, -(-n // (max_items // 2)), -(-chars // (max_chars // 2)))
     kind = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, T.StringType())])
     src = spread(docs.select(key, text).filter(F.col(text).isNotNull()))
     out = None
     for b in range(blocks):
-        rows = [(str(i), t) for i, t in items.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == b).sort(item, item_text).collect()]
+        rows = [(str(i), t) for i, t in items.filter(F.pmod(F.xxhash64(item, item_text), F.lit(blocks)) == b).sort(item, item_text).limit(max_items + 1).collect()]
+        if len(rows) > max_items or sum(len(t) for _, t in rows) > max_chars:
+            raise ValueError(f"a block of test items has more than {max_items} rows or {max_chars} characters")
         sent = src.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
