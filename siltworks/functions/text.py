@@ -56,6 +56,20 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, runs)
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n tokens."""
+    def runs(t: Column) -> Column:
+        last = F.size(t) - (n - 1)
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(t, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, runs)
+
+
+def share(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """Share of the items for which a condition holds; null for none. The items are worked out once."""
+    return let(items, lambda a: ratio(F.size(F.filter(a, holds)), F.size(a)))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """The runs of n characters; none for fewer than n."""
     return let(F.split(text, ""), lambda t: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, n), ""))).otherwise(F.array().cast("array<string>")))

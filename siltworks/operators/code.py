@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import WORD, count, let, ngrams, nz, strip
+from siltworks.functions.text import WORD, count, let, ngram_hashes, nz, strip
 from siltworks.registry import register
 
 #: Types whose length is checked; names of files that may be of type text; languages whose digits count as content.
@@ -118,7 +118,7 @@ def document_quality(df: DataFrame, thresholds: dict[str, float] | None = None,
     n = F.size("_w")
     caps = F.size(F.filter("_w", lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1)))
     d = "CodeDocumentQuality"
-    grams = {f"{d}Duplicate_{k}Gram_RatioRatio": repeated_share(ngrams(F.col("_w"), k)) for k in range(2, 11)}
+    grams = {f"{d}Duplicate_{k}Gram_RatioRatio": repeated_share(ngram_hashes(F.col("_w"), k)) for k in range(2, 11)}
     got = base.withColumns({f"{d}CharCount": F.length(c), f"{d}WordCount": n, f"{d}DuplicateLinesRatio": repeated_share(lines), f"{d}CurlyBracketRatio": F.when(F.length(c) > 0, count(c, "[{}]") / F.length(c)).otherwise(F.lit(0.0)), f"{d}AllCapsRatio": F.when(n > 0, caps / n).otherwise(F.lit(0.0)), f"{d}Entropy": entropy(F.col("_w")), **grams}).drop("_w")
     ok = F.col(f"{d}CharCount").between(t["min_num_chars"], t["max_num_chars"]) & F.col(f"{d}WordCount").between(t["min_num_words"], t["max_num_words"]) & (F.col(f"{d}DuplicateLinesRatio") <= t["max_frac_duplicate_lines"]) & (F.col(f"{d}CurlyBracketRatio") <= t["max_frac_curly_bracket"]) & (F.col(f"{d}AllCapsRatio") <= t["max_frac_all_caps_words"]) & (F.col(f"{d}Entropy") >= t["min_entropy_unigram"])
     for k in range(2, 11):

@@ -6,7 +6,7 @@ save along chains (a like b, b like c, a unlike c), where the sequential filter
 
 Exact copies are one class first. Candidates share a key. The classes of a key are held against its leader first, which settles
 like ones in linear time; then only classes that aren't known to be alike by that are held against each other, in blocks of a key
-(`BLOCKS` salts a side), so a hot key is divided among tasks, like texts make no pairs among themselves, nothing is capped, and no link
+(`BLOCK` classes a side), so a hot key is divided among tasks, like texts make no pairs among themselves, nothing is capped, and no link
 between groups is lost at any size.
 """
 
@@ -27,13 +27,24 @@ from siltworks.runtime import durable, require, spread
 
 
 def gram_hashes(text: str, n: int, by_word: bool) -> np.ndarray:
-    """Different hashes of the character or word n-grams; of the whole where there are fewer units than n."""
-    import xxhash
-
-    units = text.split() if by_word else text
-    if len(units) < n:
-        return np.array([xxhash.xxh64_intdigest(text)], np.uint64)
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest((" ".join(units[i : i + n]) if by_word else text[i : i + n])) for i in range(len(units) - n + 1)), np.uint64))
+    """Different hashes of the character or word n-grams, mixed from their units all at once; of the whole where there are fewer units than n."""
+    if by_word:
+        import xxhash
+
+        units = np.fromiter(map(xxhash.xxh64_intdigest, text.split()), np.uint64)
+    else:
+        units = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    m = len(units) - n + 1
+    if m < 1:
+        units, m = np.concatenate([units, np.full(n - len(units), 2**63, np.uint64)]), 1
+    h = np.zeros(m, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            h = (h ^ units[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
 
 
 def group_links(links: DataFrame) -> DataFrame:
@@ -50,12 +61,17 @@ def group_links(links: DataFrame) -> DataFrame:
         label = new
 
 
-#: Salts a side by which the pairs of one key are dealt to tasks.
-BLOCKS = 8
+#: Classes of a key whose pairs one task makes with as many others; a larger key is dealt to blocks of about this size.
+BLOCK = 2048
+
 
+def leader_links(keys: DataFrame, sketches: DataFrame | None, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch).
 
-def leader_links(keys: DataFrame, sketches: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
-    """(a, b) links of ids that share a bucket; their components are those of all such links. keys: (id, bucket); sketches: (id, sketch)."""
+    Without sketches, keys have the column `sketch` (of a few bytes), which then goes along with them.
+    """
+    if sketches is None:
+        return _carried_links(durable(keys.distinct()), alike)
     keys = durable(keys.distinct())
     mine = sketches.select(F.col("id").alias("a"), "sketch")
     theirs = sketches.select(F.col("id").alias("b"), F.col("sketch").alias("other"))
@@ -64,14 +80,28 @@ def leader_links(keys: DataFrame, sketches: DataFrame, alike: Callable[[Column,
     led = verified(keys.join(lead.select("bucket", "b"), "bucket").filter("id != b").select(F.col("id").alias("a"), "b").distinct())
     label = led.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
     own = durable(keys.join(lead.select("bucket"), "bucket", "left_semi").join(label, "id", "left").select("bucket", F.col("id").alias("a"), F.coalesce("c", "id").alias("c")))
-    # buckets with one label only have nothing left to compare
-    open_ = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
-    own = own.join(open_, "bucket", "left_semi")
-    salts = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    x = own.withColumn("i", F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int")).withColumn("j", F.explode(salts))
-    y = own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"), F.pmod(F.xxhash64("a"), F.lit(BLOCKS)).cast("int").alias("j")).withColumn("i", F.explode(salts))
-    pairs = x.join(mine, "a").join(y.join(theirs, "b"), ["bucket", "i", "j"]).filter((F.col("b") < F.col("a")) & (F.col("c") != F.col("d")) & alike(F.col("sketch"), F.col("other")))
-    return led.union(durable(pairs.select("a", "b").distinct()))
+    return led.union(_apart(own.join(mine, "a"), own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d")).join(theirs, "b"), alike))
+
+
+def _carried_links(keys: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    lead = keys.groupBy("bucket").agg(F.min("id").alias("b"), F.min_by("sketch", "id").alias("other"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    led = durable(keys.join(lead, "bucket").filter((F.col("id") != F.col("b")) & alike(F.col("sketch"), F.col("other"))).select(F.col("id").alias("a"), "b").distinct())
+    label = led.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c"))
+    own = durable(keys.join(lead.select("bucket"), "bucket", "left_semi").join(label, "id", "left").select("bucket", F.col("id").alias("a"), "sketch", F.coalesce("c", "id").alias("c")))
+    return led.union(_apart(own, own.select("bucket", F.col("a").alias("b"), F.col("c").alias("d"), F.col("sketch").alias("other")), alike))
+
+
+def _apart(own: DataFrame, theirs: DataFrame, alike: Callable[[Column, Column], Column]) -> DataFrame:
+    """Verified pairs of a key's classes with different labels. own: (bucket, a, c, sketch); theirs: (bucket, b, d, other), the same classes."""
+    # keys with one label only have nothing left to compare
+    open_ = durable(own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("m")).filter("lo != hi").select("bucket", "m"))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("m")).cast("int")
+    # each block of a key meets each other: one side is copied to every column of blocks, the other to every row
+    x = own.join(open_, "bucket").withColumn("i", block("a")).withColumn("j", every).drop("m")
+    y = theirs.join(open_, "bucket").withColumn("j", block("b")).withColumn("i", every).drop("m")
+    pairs = x.join(y, ["bucket", "i", "j"]).filter((F.col("b") < F.col("a")) & (F.col("c") != F.col("d")) & alike(F.col("sketch"), F.col("other")))
+    return durable(pairs.select("a", "b").distinct())
 
 
 def _classes(df: DataFrame, text: str, order: str) -> DataFrame:
@@ -126,11 +156,11 @@ def minhash_deduplicate(df: DataFrame, input_key: str, order: str, num_perm: int
 
 
 @register("simhash_deduplicate_filter")
-def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float = 0.1, ngram: int = 3, near: int = 2) -> DataFrame:
+def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float = 0.1, ngram: int = 3, near: int = 3) -> DataFrame:
     """First row of each group of texts whose 64-bit SimHash differs in at most bound x 64 bits.
 
     The fingerprint is cut into bits + near parts; two of at most `bits` different bits agree in `near` parts at least, so candidates
-    share some `near` parts, and none is missed. Keys of two parts together tell apart far more fingerprints than one would.
+    share some `near` parts, and none is missed. Keys of several parts together tell apart far more fingerprints than one part would.
     """
     require(df, input_key, order)
     bits = int(bound * 64)
@@ -151,7 +181,7 @@ def simhash_deduplicate(df: DataFrame, input_key: str, order: str, bound: float
     cuts = [round(i * 64 / n) for i in range(n + 1)]
     part = lambda i: F.shiftrightunsigned("sketch", cuts[i]).bitwiseAND(F.lit(2 ** (cuts[i + 1] - cuts[i]) - 1).cast("bigint"))
     keys = F.array(*[F.xxhash64(F.lit(k), *map(part, c)) for k, c in enumerate(combinations(range(n), near))])
-    return _keep_first(df, order, classes, leader_links(sk.select("id", F.explode(keys).alias("bucket")), sk, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits))
+    return _keep_first(df, order, classes, leader_links(sk.select("id", "sketch", F.explode(keys).alias("bucket")), None, lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= bits))
 
 
 @register("ngramhash_deduplicate_filter")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import SPACE, WORD, char_ngrams, count, let, lines, n_words, ngrams, nz, ratio, strip, words
+from siltworks.functions.text import SPACE, WORD, char_ngrams, count, let, lines, n_words, ngrams, nz, ratio, share, strip, words
 from siltworks.registry import register
 from siltworks.runtime import forbid, require
 
@@ -69,8 +69,7 @@ def _sentences(c: Column, min_sentences: int = 3, max_sentences: int = 7500) ->
 @_rule("line_end_with_ellipsis_filter")
 def _ellipsis(c: Column, threshold: float = 0.3) -> Column:
     """Share of lines that end in an ellipsis, under the threshold; texts without lines go."""
-    ls = lines(c)
-    return ratio(F.size(F.filter(ls, lambda x: x.rlike(f"(?:\\.\\.\\.|…)[{SPACE}]*$"))), F.size(ls)) < threshold
+    return share(lines(c), lambda x: x.rlike(f"(?:\\.\\.\\.|…)[{SPACE}]*$")) < threshold
 
 
 @_rule("symbol_word_ratio_filter")
@@ -82,8 +81,7 @@ def _symbols(c: Column, threshold: float = 0.4) -> Column:
 @_rule("alpha_words_filter")
 def _alpha(c: Column, threshold: float = 0.6) -> Column:
     """Share of words with a Latin letter, over the threshold."""
-    w = words(c)
-    return ratio(F.size(F.filter(w, lambda x: x.rlike("[a-zA-Z]"))), F.size(w)) > threshold
+    return share(words(c), lambda x: x.rlike("[a-zA-Z]")) > threshold
 
 
 @_rule("html_entity_filter")
@@ -119,17 +117,15 @@ def _watermark(c: Column, watermarks: tuple[str, ...] = ("Copyright", "Watermark
 @_rule("mean_word_length_filter")
 def _mean_length(c: Column, min_length: float = 3, max_length: float = 10) -> Column:
     """Mean length of words to two places, from min_length to below max_length."""
-    w = words(c)
-    m = F.round(ratio(F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)), F.size(w)), 2)
-    return (m >= min_length) & (m < max_length)
+    mean = lambda w: F.round(ratio(F.length(F.array_join(w, "")), F.size(w)), 2)
+    return let(let(words(c), mean), lambda m: (m >= min_length) & (m < max_length))
 
 
 @_rule("stop_word_filter")
 def _stop_words(c: Column, threshold: float = 0.2) -> Column:
     """Share of English stop words over the threshold, and more than two of them."""
-    w = words(F.lower(nz(c)))
-    n = F.size(F.filter(w, lambda x: x.isin(STOPWORDS)))
-    return (ratio(n, F.size(w)) > threshold) & (n > 2)
+    enough = lambda w: let(F.size(F.filter(w, lambda x: x.isin(STOPWORDS))), lambda n: (ratio(n, F.size(w)) > threshold) & (n > 2))
+    return let(words(F.lower(nz(c))), enough)
 
 
 @_rule("curly_bracket_filter")
@@ -141,8 +137,7 @@ def _curly(c: Column, threshold: float = 0.025) -> Column:
 @_rule("capital_words_filter", "capital_words_filter")
 def _capitals(c: Column, threshold: float = 0.2) -> Column:
     """Share of words in capitals, up to the threshold."""
-    w = words(c)
-    return ratio(F.size(F.filter(w, lambda x: (x == F.upper(x)) & (x != F.lower(x)))), F.size(w)) <= threshold
+    return share(words(c), lambda x: (x == F.upper(x)) & (x != F.lower(x))) <= threshold
 
 
 @_rule("lorem_ipsum_filter", "loremipsum_filter_label")
@@ -154,8 +149,7 @@ def _lorem(c: Column, threshold: float = 3e-8) -> Column:
 @_rule("unique_words_filter", "unique_words_filter")
 def _unique(c: Column, threshold: float = 0.1) -> Column:
     """Share of different words, over the threshold."""
-    w = words(F.lower(nz(c)))
-    return ratio(F.size(F.array_distinct(w)), F.size(w)) > threshold
+    return let(words(F.lower(nz(c))), lambda w: ratio(F.size(F.array_distinct(w)), F.size(w)) > threshold)
 
 
 @_rule("char_number_filter")
@@ -167,16 +161,14 @@ def _chars(c: Column, threshold: int = 100) -> Column:
 @_rule("line_start_with_bulletpoint_filter", "line_start_with_bullet_point_filter_label")
 def _bullets(c: Column, threshold: float = 0.9) -> Column:
     """Share of lines that start with a bullet, up to the threshold."""
-    ls = lines(c)
-    return ratio(F.size(F.filter(ls, lambda x: x.rlike(f"^[{SPACE}]*[{BULLETS}]"))), F.size(ls)) <= threshold
+    return share(lines(c), lambda x: x.rlike(f"^[{SPACE}]*[{BULLETS}]")) <= threshold
 
 
 @_rule("line_with_javascript_filter")
 def _javascript(c: Column, threshold: int = 3) -> Column:
     """Keeps texts of up to three lines, or with enough lines that don't say javascript."""
-    ls = F.split(nz(c), "\n")
-    other = F.size(F.filter(ls, lambda x: ~F.lower(x).contains("javascript")))
-    return (nz(c) != "") & ((F.size(ls) <= 3) | (other >= threshold))
+    enough = lambda ls: (F.size(ls) <= 3) | (F.size(F.filter(ls, lambda x: ~F.lower(x).contains("javascript"))) >= threshold)
+    return (nz(c) != "") & let(F.split(nz(c), "\n"), enough)
 
 
 @_rule("blocklist_filter")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltworks.functions.text import ngram_hashes, words
 from siltworks.registry import register
 from siltworks.runtime import require
 
@@ -95,24 +96,25 @@ def bleu(df: DataFrame, input_key: str, input_reference_key: str, output_key: st
 
 @register("cider_sample_evaluator")
 def cider(df: DataFrame, key: str, input_key: str, input_reference_key: str, n: int = 4, sigma: float = 6.0) -> DataFrame:
-    """(key, CiderScore): tf-idf n-gram cosine with a length penalty; document frequencies are of all references."""
-    from siltworks.functions.text import ngrams, words
+    """(key, CiderScore): tf-idf n-gram cosine with a length penalty; document frequencies are of all references.
 
+    Both texts' n-grams, as 64-bit hashes, are counted side by side, so a gram is shuffled once for its counts and once for its frequency,
+    where equal grams are added up before they are sent.
+    """
     require(df, key, input_key, input_reference_key)
-    grams = lambda c: F.flatten(F.array(*[F.transform(ngrams(words(F.lower(F.col(c))), k), lambda g: F.struct(F.lit(k).alias("k"), g.alias("g"))) for k in range(1, n + 1)]))
-    tf = lambda c: df.select(key, F.size(words(c)).alias("len"), F.explode(grams(c)).alias("x")).groupBy(key, "x.k", "x.g").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    ref, hyp = tf(input_reference_key), tf(input_key)
+    hyp, ref = (words(F.lower(F.col(c))) for c in (input_key, input_reference_key))
+    base = df.select(key, hyp.alias("_h"), ref.alias("_r"))
+    side = lambda c, r: [F.transform(ngram_hashes(F.col(c), k), lambda g, k=k: F.struct(F.lit(k).alias("k"), g.alias("g"), F.lit(r).alias("r"), F.lit(1 - r).alias("h"))) for k in range(1, n + 1)]
+    each = base.select(key, F.explode(F.concat(*side("_h", 0), *side("_r", 1))).alias("x")).select(key, "x.*")
+    tf = each.groupBy(key, "k", "g").agg(F.sum("r").alias("r"), F.sum("h").alias("h"))
     total = F.lit(math.log(max(df.count(), 2)))
-    idf = ref.groupBy("k", "g").agg((total - F.log(F.count("*"))).alias("idf"))
-    w = lambda t, name: t.join(idf, ["k", "g"], "left").select(key, "k", "g", F.col("len").alias(f"len_{name}"), (F.col("tf") * F.coalesce("idf", total)).alias(name))
-    r, h = w(ref, "r"), w(hyp, "h")
-    norm = lambda t, name: t.groupBy(key, "k").agg(F.sqrt(F.sum(F.col(name) ** 2)).alias(f"norm_{name}"), F.first(f"len_{name}").alias(f"len_{name}"))
-    both = r.drop("len_r").join(h.drop("len_h"), [key, "k", "g"]).groupBy(key, "k").agg(F.sum(F.least("r", "h") * F.col("r")).alias("dot"))
-    per = norm(r, "r").join(norm(h, "h"), [key, "k"]).join(both, [key, "k"], "left")
-    d = F.col("len_h") - F.col("len_r")
-    one = F.coalesce(F.col("dot") / F.nullif(F.col("norm_r") * F.col("norm_h"), F.lit(0.0)), F.lit(0.0)) * F.exp(-(d * d) / (2 * sigma**2))
-    got = per.groupBy(key).agg((F.sum(one) / n * 10).alias("CiderScore"))
-    return df.select(key).join(got, key, "left").select(key, F.coalesce("CiderScore", F.lit(0.0)).alias("CiderScore"))
+    part = tf.filter("r > 0").groupBy("k", "g").agg(F.count("*").alias("n"))
+    w = tf.join(part, ["k", "g"], "left").withColumn("idf", total - F.log(F.coalesce("n", F.lit(1))))
+    r, h = F.col("r") * F.col("idf"), F.col("h") * F.col("idf")
+    per = w.groupBy(key, "k").agg(F.sum(F.least(r, h) * r).alias("dot"), F.sqrt(F.sum(r * r)).alias("nr"), F.sqrt(F.sum(h * h)).alias("nh"))
+    mean = per.groupBy(key).agg((F.sum(F.coalesce(F.col("dot") / F.nullif(F.col("nr") * F.col("nh"), F.lit(0.0)), F.lit(0.0))) / n).alias("s"))
+    d = (F.size("_h") - F.size("_r")).cast("double")
+    return base.join(mean, key, "left").select(key, F.coalesce(F.col("s") * F.exp(-(d * d) / (2 * sigma**2)) * 10, F.lit(0.0)).alias("CiderScore"))
 
 
 # --- readability

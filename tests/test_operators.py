@@ -98,10 +98,11 @@ def test_leader_links_connect_what_brute_force_connects(spark, monkeypatch):
 
     v = [0, 2, 4, 100, 102] + list(range(7, 95, 11))  # 1 and 2 are like each other; only 1 is like the leader 0
     df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "id bigint, sketch bigint")
-    for salts in (1, 8):
-        monkeypatch.setattr(nd, "BLOCKS", salts)
-        got = nd.group_links(nd.leader_links(df.select("id", F.lit(1).alias("bucket")), df, lambda a, b: F.abs(a - b) <= 2)).collect()
-        assert {(r.node, r.component) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
+    for block in (2, 2048):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        for keys, sketches in ((df.select("id", F.lit(1).alias("bucket")), df), (df.withColumn("bucket", F.lit(1)), None)):
+            got = nd.group_links(nd.leader_links(keys, sketches, lambda a, b: F.abs(a - b) <= 2)).collect()
+            assert {(r.node, r.component) for r in got} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3)}
 
 
 def test_registered_queries_do_the_whole_job(spark):
