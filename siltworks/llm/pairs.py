@@ -246,22 +246,28 @@ class Field:
         gold = np.eye(k)[y] * m[:, :, None]
         want_e = np.einsum("ntd,ntk->dk", x, gold)
         want_m = np.einsum("ntj,ntk->jk", gold[:, :-1], gold[:, 1:])
-        lse = lambda a, ax: (q := a.max(ax, keepdims=True)).squeeze(ax) + np.log(np.exp(a - q).sum(ax))
         m1 = [np.zeros_like(emit), np.zeros_like(move)]
         m2 = [np.zeros_like(emit), np.zeros_like(move)]
+        on = m[:, :, None]
         for step in range(1, rounds + 1):
+            # forward and backward probabilities, scaled to 1 at each clause; past its end a pair's stay as they are
             s = x @ emit
-            alpha, beta = np.zeros((n, t, k)), np.zeros((n, t, k))
-            alpha[:, 0] = s[:, 0]
-            for i in range(1, t):
-                alpha[:, i] = np.where(m[:, i, None], lse(alpha[:, i - 1, :, None] + move, 1) + s[:, i], alpha[:, i - 1])
+            b = np.exp(s - s.max(2, keepdims=True))
+            go = np.exp(move)
+            alpha, beta, scale = np.empty((n, t, k)), np.ones((n, t, k)), np.ones((n, t, 1))
+            alpha[:, 0] = b[:, 0]
+            for i in range(t):
+                if i:
+                    alpha[:, i] = np.where(on[:, i], (alpha[:, i - 1] @ go) * b[:, i], alpha[:, i - 1])
+                scale[:, i] = alpha[:, i].sum(1, keepdims=True)
+                alpha[:, i] /= scale[:, i]
             for i in range(t - 2, -1, -1):
-                beta[:, i] = np.where(m[:, i + 1, None], lse(move[None] + (s[:, i + 1] + beta[:, i + 1])[:, None, :], 2), beta[:, i + 1])
-            z = lse(alpha[:, -1], 1)
-            p = np.exp(alpha + beta - z[:, None, None]) * m[:, :, None]
-            ge = want_e - np.einsum("ntd,ntk->dk", x, p)
-            pair = np.exp(np.minimum(alpha[:, :-1, :, None] + move + (s[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None], 0)) * m[:, 1:, None, None]
-            gm = want_m - pair.sum((0, 1))
+                beta[:, i] = np.where(on[:, i + 1], ((b[:, i + 1] * beta[:, i + 1]) @ go.T) / scale[:, i + 1], beta[:, i + 1])
+            p = alpha * beta
+            p = p / p.sum(2, keepdims=True) * on
+            ge = want_e - np.einsum("ntd,ntk->dk", x, p, optimize=True)
+            pair = (alpha[:, :-1] * on[:, 1:]).reshape(-1, k).T @ (b[:, 1:] * beta[:, 1:] / scale[:, 1:] * on[:, 1:]).reshape(-1, k) * go
+            gm = want_m - pair
             for q, (w, g) in enumerate(((emit, ge / n - l2 * emit), (move, gm / n - l2 * move))):
                 m1[q] = 0.9 * m1[q] + 0.1 * g
                 m2[q] = 0.99 * m2[q] + 0.01 * g * g
