@@ -137,7 +137,7 @@ def json_parse_filter(df: DataFrame, input_key: str, output_key: str, required:
 
 def plain_answer(c: Column) -> Column:
     """The words of an answer that count: lower case, without punctuation and articles, divided by spaces."""
-    return F.array_join(words(F.regexp_replace(F.regexp_replace(F.lower(nz(c)), r"[!-/:-@\[-`{-~]", ""), r"\b(?:a|an|the)\b", " ")), " ")
+    return F.array_join(words(F.regexp_replace(F.regexp_replace(F.lower(nz(c)), r"[!-/:-@\[-`{-~]", ""), rf"(?<![{WORD}])(?:a|an|the)(?![{WORD}])", " ")), " ")
 
 
 def _f1(p: str, t: str) -> float:

@@ -93,7 +93,7 @@ _REFINER_SQL = {
     "remove_contractions_refiner": None,
     "text_normalization_refiner": None,
     "remove_repetitions_punctuation_refiner": None,
-    "pii_anonymize_refiner": None,
+    "pii_anonymize_refiner": r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\w.+-]+@[\w-]+\.[\w.-]+', '<EMAIL_ADDRESS>', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<IP_ADDRESS>', 'g'), '\b(?:\d[ -]?){13,16}\b', '<CREDIT_CARD>', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '<US_SSN>', 'g'), '\+?\d{1,3}[ -]\(?\d{2,4}\)?(?:[ -]\d{2,4}){2,3}\b', '<PHONE_NUMBER>', 'g')",
 }
 
 
@@ -123,6 +123,13 @@ def _distinct_code(s: SparkSession, d: str, *columns: Column) -> DataFrame:
     return _code(s, d).select("id", *columns).distinct()
 
 
+_SHARED_PARTS = """WITH RECURSIVE texts AS (SELECT min(doc_id) AS id, coalesce(text, '') AS t FROM documents GROUP BY 2),
+parts AS (SELECT DISTINCT id, substr(t, CAST(i * n + 1 AS BIGINT), CAST(n AS BIGINT)) AS part FROM (SELECT id, t, floor(length(t) / 3) AS n FROM texts), (SELECT unnest([0, 1, 2]) AS i)),
+edges AS (SELECT DISTINCT id AS a, min(id) OVER (PARTITION BY part) AS b FROM parts),
+ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (SELECT id AS a, id AS b FROM texts UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a)
+SELECT a AS doc_id FROM reach GROUP BY a HAVING min(b) = a"""
+
 _OTHER: dict[str, tuple[Query, str | None]] = {
     "op_word_number_filter": (lambda s, d: word_number_filter(_docs(s, d), "text", "n").select("doc_id", F.col("n").cast("bigint").alias("n")), f"SELECT doc_id, len({_W}) AS n FROM documents WHERE len({_W}) >= 20 AND len({_W}) < 100000"),
     "op_ngram_score": (lambda s, d: _docs(s, d).select("doc_id", F.round(ngram_score(F.col("text")), 6).alias("score")), f"SELECT doc_id, round(CASE WHEN len(t) < 5 THEN 0.0 ELSE len(list_distinct({_NGRAMS})) / len({_NGRAMS}) END, 6) AS score FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)"),
@@ -144,7 +151,7 @@ _OTHER: dict[str, tuple[Query, str | None]] = {
     "op_code_duplicate_lines": (lambda s, d: _distinct_code(s, d, F.round(code.duplicate_line_ratio(F.col("lines")), 6).alias("ratio")), "SELECT DISTINCT id, round(CASE WHEN len(l) > 0 THEN 1 - len(list_distinct(l)) / len(l) ELSE 0.0 END, 6) AS ratio FROM (SELECT id, list_filter(coalesce(lines, []), lambda x: trim(x, ' ') <> '') AS l FROM code_input)"),
     "op_minhash_deduplicate": (lambda s, d: near_duplicates.minhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
     "op_simhash_deduplicate": (lambda s, d: near_duplicates.simhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
-    "op_ngramhash_deduplicate": (lambda s, d: near_duplicates.ngramhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), None),
+    "op_ngramhash_deduplicate": (lambda s, d: near_duplicates.ngramhash_deduplicate(_docs(s, d), "text", "doc_id").select("doc_id"), _SHARED_PARTS),
     "op_semantic_deduplicate": (lambda s, d: near_duplicates.semantic_deduplicate(table(s, d, "embeddings"), "embedding", "vec_id").select("vec_id"), None),
     "op_lexical_diversity": (lambda s, d: scores.lexical_diversity(_docs(s, d).select("doc_id", "text"), "text").drop("text"), None),
     "op_bleu": (lambda s, d: scores.bleu(spread(_pairs(s, d)), "output", "golden_answer").select("pair_id", F.round("BleuScore", 6).alias("score")), r"SELECT pair_id, round(CASE WHEN len(c) = 0 OR len(r) = 0 THEN 0.0 ELSE (list_sum(list_transform(list_distinct(c), lambda w: least(len(list_filter(c, lambda x: x = w)), len(list_filter(r, lambda x: x = w))))) + 1e-15) / (len(c) + 1e-9) * CASE WHEN len(c) >= len(r) THEN 1.0 ELSE exp(1 - len(r) / len(c)) END END, 6) AS score FROM (SELECT pair_id, " + _W.replace("text", "output") + " AS c, " + _W.replace("text", "golden_answer") + " AS r FROM pipeline_general)"),

@@ -122,7 +122,7 @@ def _lengths(texts: list[str]) -> list[list[float]]:
 # --- benchmarks and answers
 
 _QA = "SELECT pair_id, output, golden_answer FROM pipeline_general"
-_put("token_f1", lambda s, d: relational.qa_f1(_pairs(s, d), "output", "golden_answer").select("pair_id", F.round("F1Score", 6).alias("f1")), r"SELECT pair_id, CASE WHEN array_to_string(p, ' ') <> array_to_string(t, ' ') AND (array_to_string(p, ' ') IN ('yes', 'no', 'noanswer') OR array_to_string(t, ' ') IN ('yes', 'no', 'noanswer')) THEN 0.0 WHEN common = 0 THEN 0.0 ELSE round(2.0 * common / (len(p) + len(t)), 6) END AS f1 FROM (SELECT pair_id, p, t, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))), 0) AS common FROM (SELECT pair_id, list_filter(string_split_regex(regexp_replace(translate(lower(coalesce(output, '')), '!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(39), ''), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> '') AS p, list_filter(string_split_regex(regexp_replace(translate(lower(coalesce(golden_answer, '')), '!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(39), ''), '\b(a|an|the)\b', ' ', 'g'), '\s+'), lambda x: x <> '') AS t FROM pipeline_general))".replace('\\"', '"'))
+_put("token_f1", lambda s, d: relational.qa_f1(_pairs(s, d), "output", "golden_answer").select("pair_id", F.round("F1Score", 6).alias("f1")), r"SELECT pair_id, CASE WHEN array_to_string(p, ' ') <> array_to_string(t, ' ') AND (array_to_string(p, ' ') IN ('yes', 'no', 'noanswer') OR array_to_string(t, ' ') IN ('yes', 'no', 'noanswer')) THEN 0.0 WHEN common = 0 THEN 0.0 ELSE round(2.0 * common / (len(p) + len(t)), 6) END AS f1 FROM (SELECT pair_id, p, t, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(t, lambda x: x = w))))), 0) AS common FROM (SELECT pair_id, list_filter(string_split_regex(regexp_replace(regexp_replace(translate(lower(coalesce(output, '')), '!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(39), ''), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[\s\x{3000}\x{a0}\x{85}\x{2000}-\x{200a}\x{202f}]+'), lambda x: x <> '') AS p, list_filter(string_split_regex(regexp_replace(regexp_replace(translate(lower(coalesce(golden_answer, '')), '!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~' || chr(39), ''), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'), '[\s\x{3000}\x{a0}\x{85}\x{2000}-\x{200a}\x{202f}]+'), lambda x: x <> '') AS t FROM pipeline_general))".replace('\\"', '"'))
 _put("reasoning_answer_formatter_filter", lambda s, d: benchmarks.formatter_filter(_pairs(s, d), "output").select("pair_id"), f"SELECT pair_id {_FP}")
 _put("reasoning_answer_groundtruth_filter", lambda s, d: benchmarks.groundtruth_filter(spread(_pairs(s, d)), "output", "golden_answer").select("pair_id"))
 _put("reasoning_answer_pipeline_root_filter", lambda s, d: benchmarks.pipeline_root(spread(_pairs(s, d))).selectExpr("pair_id", "golden_answer", "has_gt"))
@@ -165,9 +165,17 @@ _put("deita_complexity_sample_evaluator", lambda s, d: quality_scores.evaluate(_
 _four = lambda c: F.struct(*[((F.length(c) + k) % 12).cast("double").alias(p) for k, (p, _, _) in enumerate(quality_scores.SCORES["qurating"].parts)])
 _put("qurating_sample_evaluator", lambda s, d: quality_scores.evaluate(_pairs(s, d), "qurating", _four, ("output",)).select("pair_id", "writing_style", "educational_value"), f"SELECT pair_id, CAST(length(output) % 12 AS DOUBLE) AS writing_style, CAST((length(output) + 3) % 12 AS DOUBLE) AS educational_value {_FP}")
 _put("qurating_filter", lambda s, d: quality_scores.range_filter(_pairs(s, d), "qurating", _four, ("output",)).select("pair_id", "writing_style_label"), f"SELECT pair_id, 1 AS writing_style_label {_FP} WHERE greatest(length(output) % 12, (length(output) + 1) % 12, (length(output) + 2) % 12, (length(output) + 3) % 12) <= 9")
-_PII = r"regexp_replace({0}, '{1}', ' ', 'g')"
-_put("presidio_sample_evaluator", lambda s, d: quality_scores.evaluate(_docs(s, d), "presidio", quality_scores.pii_count, ("text",)).select("doc_id", F.col("PresidioScore").alias("n")))
-_put("presidio_filter", lambda s, d: quality_scores.range_filter(_docs(s, d), "presidio", quality_scores.pii_count, ("text",)).select("doc_id"))
+def _pii_count() -> str:
+    left, terms = "coalesce(text, '')", []
+    for p in (r"[\w.+-]+@[\w-]+\.[\w.-]+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\b(?:\d[ -]?){13,16}\b", r"\b\d{3}-\d{2}-\d{4}\b", r"\+?\d{1,3}[ -]\(?\d{2,4}\)?(?:[ -]\d{2,4}){2,3}\b"):
+        terms.append(f"len(regexp_extract_all({left}, '{p}'))")
+        left = f"regexp_replace({left}, '{p}', ' ', 'g')"
+    return "CAST(" + " + ".join(terms) + " AS DOUBLE)"
+
+
+_PII_COUNT = _pii_count()
+_put("presidio_sample_evaluator", lambda s, d: quality_scores.evaluate(_docs(s, d), "presidio", quality_scores.pii_count, ("text",)).select("doc_id", F.col("PresidioScore").alias("n")), f"SELECT doc_id, {_PII_COUNT} AS n FROM documents")
+_put("presidio_filter", lambda s, d: quality_scores.range_filter(_docs(s, d), "presidio", quality_scores.pii_count, ("text",)).select("doc_id"), f"SELECT doc_id FROM documents WHERE {_PII_COUNT} BETWEEN 0 AND 5")
 _put("task2vec_dataset_evaluator", lambda s, d: quality_scores.diversity(table(s, d, "embeddings"), "embedding"))
 
 
@@ -248,7 +256,7 @@ _put("code_auto_generated_filter", lambda s, d: code._filter("AutoGenerated")(_c
 _put("code_auto_generated_sample_evaluator", lambda s, d: code.auto_generated(_code(s, d)).selectExpr("id", f"CAST({_A}MarkerCount AS INT) AS n", f"{_A}Score AS score").distinct(), "SELECT DISTINCT id, n, CASE WHEN n > 0 THEN 0.0 ELSE 1.0 END AS score FROM (SELECT id, " + " + ".join(f"(CASE WHEN contains(h, '{m}') THEN 1 ELSE 0 END)" for m in ("auto-generated", "autogenerated", "automatically generated", "generated automatically", "this file is generated")) + " AS n FROM (SELECT id, lower(array_to_string(list_slice(coalesce(lines, []), 1, 5), chr(10))) AS h FROM code_input))")
 _RATIOS = r"length(array_to_string(regexp_extract_all(coalesce(text, ''), '[a-zA-Z0-9+/=\n]{64,}'), '')) / greatest(length(coalesce(text, '')), 1) AS b, length(array_to_string(regexp_extract_all(coalesce(text, ''), '(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)){8,}'), '')) / greatest(length(coalesce(text, '')), 1) AS h, length(array_to_string(regexp_extract_all(coalesce(text, ''), '(?:\\u[0-9a-fA-F]{4}){8,}'), '')) / greatest(length(coalesce(text, '')), 1) AS u"
 _put("code_encoded_data_sample_evaluator", lambda s, d: code.encoded(_code(s, d)).selectExpr("id", "round(CodeEncodedDataBase64Ratio, 6) AS base64", "round(CodeEncodedDataUnicodeRatio, 6) AS uni").distinct(), f"SELECT DISTINCT id, round(b, 6) AS base64, round(u, 6) AS uni FROM (SELECT id, {_RATIOS} FROM code_input)")
-_put("code_encoded_data_filter", lambda s, d: code._filter("EncodedData")(_code(s, d)).select("id").distinct())
+_put("code_encoded_data_filter", lambda s, d: code._filter("EncodedData")(_code(s, d)).select("id").distinct(), f"SELECT DISTINCT id FROM (SELECT id, {_RATIOS} FROM code_input) WHERE greatest(b, h, u) <= 0.5")
 _put("code_length_sample_filter", lambda s, d: code._filter("Length")(_code(s, d)).select("id").distinct(), "SELECT DISTINCT id FROM (SELECT id, language, len(coalesce(lines, [])) AS n, coalesce(list_avg(list_transform(lines, lambda x: length(x))), 0) AS mean, coalesce(list_max(list_transform(lines, lambda x: length(x))), 0) AS top FROM code_input) WHERE n <= 100000 AND CASE WHEN coalesce(language, '') IN ('HTML', 'JSON', 'Markdown', 'Roff', 'Roff Manpage', 'SMT', 'TeX', 'Text', 'XML') THEN top <= 100000 ELSE mean <= 100 AND top <= 1000 END")
 _SHARE = lambda cls: f"length(regexp_replace(coalesce(text, ''), '{cls}', '', 'g')) / greatest(length(coalesce(text, '')), 1)"
 _put("code_text_composition_sample_evaluator", lambda s, d: code.composition(_code(s, d)).selectExpr("id", "round(CodeTextCompositionAlphaRatio, 6) AS alpha", "round(CodeTextCompositionAlnumRatio, 6) AS alnum", "CodeTextCompositionScore AS score").distinct(), rf"SELECT DISTINCT id, round(a, 6) AS alpha, round(n, 6) AS alnum, CASE WHEN (CASE WHEN language IN ('Motorola 68K Assembly', 'WebAssembly') THEN n ELSE a END) < 0.25 THEN 0.0 ELSE 1.0 END AS score FROM (SELECT id, language, {_SHARE(chr(92) + 'P{L}')} AS a, {_SHARE('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]')} AS n FROM code_input)")
