@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from siltworks.functions.text import SPACE, WORD, char_ngrams, let, n_words, ngrams, nz, words
 from siltworks.registry import register
-from siltworks.runtime import require
+from siltworks.runtime import durable, require
 
 
 def _joined(df: DataFrame, keys: list[str]) -> Column:
@@ -101,9 +101,21 @@ def chunks(df: DataFrame, key: str, text: str, chunk_size: int = 512, chunk_over
 
 @register("adjacent_pairs")
 def adjacent_pairs(df: DataFrame, partition: str, order: str, text: str) -> DataFrame:
-    """Each row with the next one of its partition."""
-    w = W.partitionBy(partition).orderBy(order)
-    return df.select(partition, order, F.col(text).alias("first"), F.lead(text).over(w).alias("second")).filter(F.col("second").isNotNull())
+    """Each row with the next one of its partition by `order` (unique in it).
+
+    Rows are dealt to ranges of (partition, order), so a partition of any size is spread; within a range the next row is a window's, and the
+    last row of a range gets the first one of the partition's next range.
+    """
+    require(df, partition, order, text)
+    n = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    rows = durable(df.select(partition, order, F.col(text).alias("first")).repartitionByRange(n, partition, order).withColumn("_r", F.spark_partition_id()))
+    w = W.partitionBy("_r", partition).orderBy(order)
+    one = rows.withColumn("_next", F.lead(F.struct("first")).over(w))
+    heads = rows.groupBy(partition, "_r").agg(F.min_by(F.struct("first"), order).alias("_head"))
+    over = W.partitionBy(partition).orderBy("_r")
+    spread_ = heads.withColumn("_head", F.lead("_head").over(over)).filter(F.col("_head").isNotNull()).select(F.col(partition).alias("_k"), F.col("_r").alias("_s"), "_head")
+    got = one.join(spread_, one["_next"].isNull() & one[partition].eqNullSafe(F.col("_k")) & (F.col("_r") == F.col("_s")), "left")
+    return got.select(partition, order, "first", F.coalesce("_next", "_head")["first"].alias("second")).filter(F.col("second").isNotNull())
 
 
 @register("union_with_flag")

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from siltworks.functions.text import ngram_hashes, words
 from siltworks.registry import register
-from siltworks.runtime import require
+from siltworks.runtime import durable, require
 
 
 def row_udf(f: Callable, kind: T.DataType, *columns: Column) -> Column:
@@ -344,12 +345,13 @@ def spelling(df: DataFrame, input_key: str, frequency: dict[str, int], most: int
 
 # --- dataset scores over vectors
 
+#: Rounds of k_center after which its distances are written.
+ROUNDS = 8
+
 
 @register("vendi_dataset_evaluator")
 def vendi(df: DataFrame, vector: str) -> DataFrame:
     """One row: the exponential of the entropy of the cosine kernel's eigenvalues, by the (dim x dim) second moments, which are summed on executors."""
-    import numpy as np
-
     def run(batches):
         for b in batches:
             x = np.stack([np.asarray(v, float) for v in b["v"]]) if len(b) else None
@@ -367,32 +369,32 @@ def vendi(df: DataFrame, vector: str) -> DataFrame:
     return df.sparkSession.createDataFrame([(summed[0]["n"], float(np.exp(-(ev * np.log(ev)).sum())))], "n bigint, vendi double")
 
 
-def _nearest(centres):
-    import numpy as np
-
+def _nearer(centre: np.ndarray) -> Callable:
     @F.pandas_udf("double")
-    def nearest(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy())
-        return pd.Series(np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)).min(1))
+    def run(v: pd.Series, d: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()) - centre
+        return pd.Series(np.minimum(d.to_numpy(), np.sqrt((x * x).sum(1))))
 
-    return nearest
+    return run
 
 
 @register("kcenter_greedy_filter")
 def k_center(df: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """k rows, each the farthest from those before it; the first has the least key. A round is one pass over the vectors."""
-    import numpy as np
-
-    from siltworks.runtime import durable
+    """k rows, each the farthest from those before it; the first has the least key. Keys are unique.
 
-    base = durable(df.select(key, F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL"))
-    first = base.orderBy(key).limit(1).collect()
-    chosen = [first[0]] if first else []
-    while chosen and len(chosen) < k:
-        c = np.array([r["v"] for r in chosen])
-
-        best = base.withColumn("d", _nearest(c)("v")).agg(F.max_by(F.struct(key, "v"), F.struct("d", key)).alias("r"), F.max("d").alias("d")).first()
-        if best is None or best["r"] is None or best["d"] <= 0:
-            break
-        chosen.append(best["r"])
-    return df.join(F.broadcast(df.sparkSession.createDataFrame([(r[key],) for r in chosen], f"{key} {df.schema[key].dataType.simpleString()}")), key, "left_semi")
+    A round reads each vector once, with its distance to the nearest centre so far, and the new centre only is sent to executors. Centres
+    are found one after another by their nature, so k rounds are k passes; the distances are written every ROUNDS rounds.
+    """
+    require(df, key, vector)
+    base = durable(df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("d")))
+    chosen: list = []
+    new = base.orderBy(key).limit(1).select(key, "v").collect()
+    while new and len(chosen) < k:
+        centre = np.array(new[0]["v"])
+        chosen.append(new[0][key])
+        base = base.withColumn("d", _nearer(centre)("v", "d"))
+        if len(chosen) % ROUNDS == 0:
+            base = durable(base)
+        best = base.agg(F.max_by(F.struct(key, "v"), F.struct("d", key)).alias("r"), F.max("d").alias("d")).first()
+        new = [best["r"]] if best["r"] is not None and best["d"] > 0 else []
+    return df.join(df.sparkSession.createDataFrame([(c,) for c in chosen], f"{key} {df.schema[key].dataType.simpleString()}"), key, "left_semi")
