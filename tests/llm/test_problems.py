@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import sys, os
 
@@ -142,8 +143,6 @@ def test_lost_messages_go_back_by_reply_and_quote_links(spark):
         row("f1", "s5", "user", None), row("f2", "s5", "assistant", "f1"), row(None, None, "user", None)]
     kind = "id string, session_id string, round double, role string, content string, parentid string, ingested_at timestamp, tool_calls array<struct<id:string>>, tool_results array<struct<toolcallid:string>>"
     df = spark.createDataFrame(rows, kind)
-    from pyspark.sql import functions as F
-
     calls = df.select("id", F.explode("tool_calls.id").alias("call"), F.lit(False).alias("answers")).union(df.select("id", F.explode("tool_results.toolcallid").alias("call"), F.lit(True).alias("answers")))
     got = conversations.named(conversations.rows_of(df), calls)
     home = {x.id: x.conv for x in got.filter("lost").collect()}
@@ -299,3 +298,31 @@ def _groups(pairs):
     for node, c in pairs:
         by.setdefault(c, set()).add(node)
     return by.values()
+
+
+def test_every_operator_takes_edge_rows_empty_tables_and_clashing_columns(spark):
+    """Nulls in any column, blank and very long texts, repeated rows, no rows at all, and columns named like the results."""
+    names = "id doc_id pair_id repo kind cls lines n_chars seen container spec_name conv pos lost share nl_lang fault lang defect ids"
+    rows = []
+    for i, t in enumerate([*EDGES, "def f(", '{"a": 1}', "x = 'one two three four five six'\n" * 400, None]):
+        rows += [(None if i == 3 else f"k{i}", i, t, None if i % 3 == 0 else "Python", None if i % 4 == 0 else f"/repos/a/b/f{i}.py", None if i % 5 == 0 else "a/b")] * (1 + i % 2)
+    df = spark.createDataFrame(rows, "id string, doc_id bigint, text string, language string, file_path string, repo_name string")
+    df = df.withColumns({c: df["text"] for c in names.split() if c not in df.columns})
+    docs = [("de", "die Leute in der Stadt und ihre Kinder waren im Tal"), ("en", "the people of the town and their kin were in the valley")]
+    items = spark.createDataFrame([(None, "x"), ("i", None), ("j", "word word"), ("j", "word word"), ("", "")], "item_id string, item_text string")
+    jobs = {
+        "handwritten": lambda d: handwritten.not_handwritten(d), "pairs": lambda d: pairs.defects(d, COMMON, key="doc_id", instruction="text", fallback="language", output="text"), "leakage": lambda d: leakage.find_leaks(d, items),
+        "credentials": lambda d: credentials.scan(d), "natural": lambda d: natural.read_files(d, docs), "parsing": lambda d: parsing.judge(d), "tokens": lambda d: tokens.encode_column(d), "quality": lambda d: quality.classify(d, COMMON), "statistics": lambda d: quality.statistics(d, COMMON),
+        "packing": lambda d: packing.pack(d, [("s", 64, 4, 50)], "doc_id", "doc_id"),
+    }
+    n = df.count()
+    for name, job in jobs.items():
+        got = job(df).collect()
+        assert job(df.limit(0)).count() == 0, name
+        if name in ("tokens", "quality", "statistics", "parsing"):
+            assert len(got) == n, name
+    empty = spark.createDataFrame([], "id string, session_id string, round double, role string, content string, parentid string")
+    odd = spark.createDataFrame([(None,) * 6, ("a", "s", None, None, None, ""), ("a", "s", None, None, None, None), ("b", " ", 1.0, "user", "x" * 50_000, "b")], empty.schema).withColumns({c: F.lit("x") for c in ("conv", "pos", "late", "has", "torn")})
+    for d in (empty, odd):
+        src = conversations.rows_of(d).filter("session_id IS NOT NULL").withColumnRenamed("session_id", "conv")
+        assert conversations.assemble(src).count() == conversations.assemble(src, 0).count() == 0
