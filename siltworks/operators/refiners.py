@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import SPACE, WORD, let, words
+from siltworks.functions.text import GAP, U, WORD, let, words
 from siltworks.operators.rule_filters import ENTITIES, STOPWORDS
 from siltworks.registry import register
 from siltworks.runtime import require
@@ -62,7 +62,7 @@ def _entity(c: Column, html_entities: tuple[str, ...] = ENTITIES) -> Column:
 @_refiner("html_url_remover_refiner")
 def _html(c: Column) -> Column:
     """Deletes addresses with the line ends after them, then tags that don't cross a line end."""
-    return F.regexp_replace(F.regexp_replace(c, f"https?://[^{SPACE}]+[\\r\\n]*", ""), r"<[^\n]*?>", "")
+    return F.regexp_replace(F.regexp_replace(c, f"{U}https?://[^{GAP}]+[\\r\\n]*", ""), r"<[^\n]*?>", "")
 
 
 @_refiner("remove_emoji_refiner")
@@ -96,7 +96,7 @@ def _punctuation(c: Column) -> Column:
 @_refiner("remove_repetitions_punctuation_refiner")
 def _repeated(c: Column) -> Column:
     """One of each run of the same punctuation character."""
-    return F.regexp_replace(c, f"([^{WORD}{SPACE}]|_)\\1+", "$1")
+    return F.regexp_replace(c, f"{U}([^{WORD}{GAP}]|_)\\1+", "$1")
 
 
 @_refiner("remove_stopwords_refiner")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from siltworks.functions.text import SPACE, WORD, char_ngrams, let, n_words, ngrams, nz, words
+from siltworks.functions.text import GAP, U, WORD, char_ngrams, let, n_words, ngrams, nz, words
 from siltworks.registry import register
 from siltworks.runtime import durable, require
 
@@ -65,7 +65,7 @@ def repetition_score(c: Column, n: int = 5) -> Column:
     """Share of different n-grams: of characters (Han, Latin letters, digits) for a text with Han characters, else of words; 0 where there is none."""
     t = F.lower(nz(c))
     han = char_ngrams(F.regexp_replace(t, "[^\u4e00-\u9fff0-9a-z]", ""), n)
-    plain = ngrams(words(F.regexp_replace(t, f"[^{WORD}{SPACE}]", " ")), n)
+    plain = ngrams(words(F.regexp_replace(t, f"{U}[^{WORD}{GAP}]", " ")), n)
     return let(F.when(t.rlike("[\u4e00-\u9fff]"), han).otherwise(plain), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g)))
 
 

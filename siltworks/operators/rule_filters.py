@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltworks.functions.text import SPACE, WORD, char_ngrams, count, let, lines, n_words, ngrams, nz, ratio, share, strip, words
+from siltworks.functions.text import GAP, U, WORD, char_ngrams, count, let, lines, n_words, ngrams, nz, ratio, share, strip, words
 from siltworks.registry import register
 from siltworks.runtime import forbid, require
 
@@ -69,13 +69,13 @@ def _sentences(c: Column, min_sentences: int = 3, max_sentences: int = 7500) ->
 @_rule("line_end_with_ellipsis_filter")
 def _ellipsis(c: Column, threshold: float = 0.3) -> Column:
     """Share of lines that end in an ellipsis, under the threshold; texts without lines go."""
-    return share(lines(c), lambda x: x.rlike(f"(?:\\.\\.\\.|…)[{SPACE}]*$")) < threshold
+    return share(lines(c), lambda x: x.rlike(f"{U}(?:\\.\\.\\.|…)[{GAP}]*$")) < threshold
 
 
 @_rule("symbol_word_ratio_filter")
 def _symbols(c: Column, threshold: float = 0.4) -> Column:
     """Hashes and ellipses for each word or run of punctuation, under the threshold."""
-    return ratio(count(c, r"#|\.\.\.|…"), count(c, f"[{WORD}]+|[^{WORD}{SPACE}]+")) < threshold
+    return ratio(count(c, r"#|\.\.\.|…"), count(c, f"{U}[{WORD}]+|[^{WORD}{GAP}]+")) < threshold
 
 
 @_rule("alpha_words_filter")
@@ -161,7 +161,7 @@ def _chars(c: Column, threshold: int = 100) -> Column:
 @_rule("line_start_with_bulletpoint_filter", "line_start_with_bullet_point_filter_label")
 def _bullets(c: Column, threshold: float = 0.9) -> Column:
     """Share of lines that start with a bullet, up to the threshold."""
-    return share(lines(c), lambda x: x.rlike(f"^[{SPACE}]*[{BULLETS}]")) <= threshold
+    return share(lines(c), lambda x: x.rlike(f"{U}^[{GAP}]*[{BULLETS}]")) <= threshold
 
 
 @_rule("line_with_javascript_filter")
@@ -203,7 +203,7 @@ def word_number_filter(df: DataFrame, input_key: str, output_key: str = "word_nu
 
 def ngram_score(c: Column, n: int = 5, by_word: bool = True) -> Column:
     """Share of different n-grams of the words (or characters), without punctuation and case; 0 where there is none."""
-    plain = F.regexp_replace(F.lower(nz(c)), f"[^{WORD}{SPACE}]", "")
+    plain = F.regexp_replace(F.lower(nz(c)), f"{U}[^{WORD}{GAP}]", "")
     grams = ngrams(words(plain), n) if by_word else char_ngrams(plain, n)
     return let(grams, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.size(F.array_distinct(g)) / F.size(g)))
 
