@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +51,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     """(classes, mixed lower case) of each code point."""
     kinds = np.zeros(0x110000, np.uint16)
     lower = np.arange(0x110000, dtype=np.uint64)
-    for c in range(0x110000):
-        if 0xD800 <= c < 0xE000 or 0x30000 <= c < 0xE0000 or c >= 0xF0000:
-            continue
+    # planes without letters or signs of their own, and halves of pairs, have no class
+    for c in chain(range(0xD800), range(0xE000, 0x32400), range(0xE0000, 0xE0200)):
         x = chr(c)
         if x.isspace():
             kinds[c] |= _WS
