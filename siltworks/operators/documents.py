@@ -249,7 +249,7 @@ def extract_qa(df: DataFrame, qa: str = "QA_pairs", instruction: str = "Please a
     return got.select(F.lit(instruction).alias(names[0]), F.col("q").alias(names[1]), F.col("a").alias(names[2]))
 
 
-@register("mineru_to_llm_input_operator")
+@register("layout_to_llm_input_operator")
 def flatten_layout(df: DataFrame, key: str, layout: str, output: str = "layout") -> DataFrame:
     """(key, id, type, text, img_path): the items of a layout list (JSON), text lists divided into their items, numbered again from 0; places on the page are left out."""
     require(df, key, layout)

@@ -212,7 +212,7 @@ _put("pandas_operator", lambda s, d: relational.compose(_pairs(s, d), [lambda x:
 _put("load_partition", lambda s, d: relational.merge_by_id([table(s, d, "nation"), table(s, d, "nation").filter("n_regionkey > 0").select("n_nationkey", F.lower("n_name").alias("n_name"))], "n_nationkey"), "SELECT n_nationkey, n_regionkey, lower(n_name) AS n_name FROM nation WHERE n_regionkey > 0")
 _put("html_to_markdown", lambda s, d: documents.to_markdown(_docs(s, d).withColumn("page", F.lit("a/b.html")), "page", "text", "md").select("doc_id", "md"))
 _layout = '[{"type": "text", "text": "Chapter 1", "bbox": [1], "page_idx": 0}, {"type": "list", "sub_type": "text", "list_items": ["one", "two"]}, {"type": "image", "img_path": "a/b.png", "image_caption": ["a", "fig"]}]'
-_put("mineru_to_llm_input_operator", lambda s, d: documents.flatten_layout(table(s, d, "nation").select("n_nationkey", F.lit(_layout).alias("l")), "n_nationkey", "l").select("n_nationkey", "id", "type", "text"), "SELECT n_nationkey, unnest([0, 1, 2, 3]) AS id, unnest(['text', 'text', 'text', 'image']) AS type, unnest(['Chapter 1', 'one', 'two', NULL]) AS text FROM nation")
+_put("layout_to_llm_input_operator", lambda s, d: documents.flatten_layout(table(s, d, "nation").select("n_nationkey", F.lit(_layout).alias("l")), "n_nationkey", "l").select("n_nationkey", "id", "type", "text"), "SELECT n_nationkey, unnest([0, 1, 2, 3]) AS id, unnest(['text', 'text', 'text', 'image']) AS type, unnest(['Chapter 1', 'one', 'two', NULL]) AS text FROM nation")
 _reply = "<chapter><title>0</title><qa_pair><label>1</label><question>1, 2,x,99</question><answer>yes</answer></qa_pair><qa_pair><label>2</label></qa_pair><qa_pair><label>3</label><solution>3</solution></qa_pair></chapter>"
 _put("llm_output_parser", lambda s, d: documents.parse_llm_output(table(s, d, "nation").select("n_nationkey", F.lit(_reply).alias("r")), "n_nationkey", "r", documents.flatten_layout(table(s, d, "nation").select("n_nationkey", F.lit(_layout).alias("l")), "n_nationkey", "l")), "SELECT n_nationkey, unnest([1, 2]) AS n, 'Chapter 1' AS chapter_title, unnest(['1', '3']) AS label, unnest(['one' || chr(10) || 'two', '']) AS question, unnest(['yes', '']) AS answer, unnest(['', '![a fig](images/b.png)']) AS solution FROM nation")
 _put("qa_merger", lambda s, d: documents.merge_qa(_pairs(s, d).groupBy("pair_id").agg(F.max("source").alias("source")).selectExpr("'n' AS name", "pair_id AS ord", "'' AS chapter_title", "cast(pair_id div 2 + 1 AS string) AS label", "if(pair_id % 2 = 0, concat('q', pair_id), '') AS question", "if(pair_id % 2 = 1, concat('a', pair_id), '') AS answer", "'' AS solution"), "name", "ord").select("label", "question", "answer"), "SELECT x.pair_id // 2 + 1 AS label, 'q' || x.pair_id AS question, 'a' || y.pair_id AS answer FROM (SELECT DISTINCT pair_id FROM pipeline_general) x JOIN (SELECT DISTINCT pair_id FROM pipeline_general) y ON y.pair_id = x.pair_id + 1 WHERE x.pair_id % 2 = 0")
