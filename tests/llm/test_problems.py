@@ -326,3 +326,17 @@ def test_every_operator_takes_edge_rows_empty_tables_and_clashing_columns(spark)
     for d in (empty, odd):
         src = conversations.rows_of(d).filter("session_id IS NOT NULL").withColumnRenamed("session_id", "conv")
         assert conversations.assemble(src).count() == conversations.assemble(src, 0).count() == 0
+
+
+def test_conversations_are_dealt_by_a_shuffle_of_their_own_after_a_join(spark):
+    """A shuffle that only a join asked for may be read by mapper once the running query turns the join into a broadcast, and conversations fall apart."""
+    rows = [(f"m{k}", f"c{k % 9}", 1.0, "user", "x", None) for k in range(90)]
+    df = spark.createDataFrame(rows, "id string, session_id string, round double, role string, content string, parentid string")
+    src = conversations.rows_of(df).withColumnRenamed("session_id", "conv")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = conversations.assemble_short(src.join(src.select("conv").filter("conv = 'c1'").distinct(), "conv", "left_anti"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
