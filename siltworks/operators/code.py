@@ -15,7 +15,9 @@ SYMBOLIC = ("Motorola 68K Assembly", "WebAssembly")
 #: Markers of generated files; languages whose long lines are usual; patterns of encoded data.
 MARKERS = ("auto-generated", "autogenerated", "automatically generated", "generated automatically", "this file is generated")
 LONG_LINED = ("HTML", "JSON", "Markdown", "Roff", "Roff Manpage", "SMT", "TeX", "Text", "XML")
-ENCODED = {"base64": r"[a-zA-Z0-9+/=\n]{64,}", "hex": r"(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)){8,}", "unicode": r"(?:\\u[0-9a-fA-F]{4}){8,}"}
+# Possessive: Java recurses for each repetition of a group that it could take back, and a long dump overflows the stack. An item can be
+# read in one way only, so there is nothing to take back and the matches are the same.
+ENCODED = {"base64": r"[a-zA-Z0-9+/=\n]{64,}", "hex": r"(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)){8,}+", "unicode": r"(?:\\u[0-9a-fA-F]{4}){8,}+"}
 
 
 def marker_count(lines: Column) -> Column:

@@ -260,3 +260,20 @@ def test_pipelines_go_on_where_they_ended(spark, tmp_path, edges):
     assert run_pipeline(edges, first, f"{tmp_path}/p").count() == run_pipeline(edges.limit(0), steps, f"{tmp_path}/p").count() > 0
     assert run_pipeline(edges.limit(0), steps, f"{tmp_path}/p", 0).count() == 0
     assert step_names(steps)[0] == step_names(first)[0] != step_names([("content_null_filter", {"input_key": "t"})])[0]
+
+
+def test_encoded_data_of_any_length_against_brute_force(spark):
+    import random
+    import re
+
+    r = random.Random(8)
+    kinds = [["ab ", "7F ", "a0\n", "ab  ", "0x1f "], ["0x1f,", "a0,", "0xA7,", "0x1f ,"], ["\\x41", "\\xfe", "\\x0g"], ["\\u00e9", "\\u20AC", "\\u00g9"], ["QUJD", "a+/=", "\n", "-"]]
+    texts = ["".join(r.choice(r.choice(kinds) if r.random() < 0.03 else kind) for _ in range(r.randint(5, 60))) for kind in kinds for _ in range(100)]
+    texts += [t * 50_000 for t in ("0x1f,", "0x1f, ", "\\x1f", "1f ", "1f\n", "\\u00e9", "QUJD")] + ["1f " * 50_000 + "?", None, ""]
+    rules = {"Base64": r"[a-zA-Z0-9+/=\n]{64,}", "Hex": r"(?:\b(?:0x|\\x)?[0-9a-fA-F]{2}(?:,|\b\s*)){8,}", "Unicode": r"(?:\\u[0-9a-fA-F]{4}){8,}"}
+    got = code.encoded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).orderBy("id").collect()
+    want = [{k: sum(map(len, re.findall(p, t or ""))) / max(len(t or ""), 1) for k, p in rules.items()} for t in texts]
+    assert len(got) == len(texts) and sum(0 < w["Hex"] < 1 for w in want) > 50 and sum(0 < w["Unicode"] < 1 for w in want) > 5
+    for g, w in zip(got, want):
+        assert {k: g[f"CodeEncodedData{k}Ratio"] for k in rules} == pytest.approx(w)
+        assert g.CodeEncodedDataScore == (0.0 if max(w.values()) > 0.5 else 1.0)
