@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from siltworks.llm.conversations import components
-from siltworks.runtime import Scratch, durable, require, spread, table
+from siltworks.runtime import Scratch, durable, require, sift, spread, table
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Keywords that aren't masked.
@@ -201,10 +201,14 @@ def _links(classes: DataFrame, files: DataFrame, key: str, similar: float, put:
     shared = put(each.select("i", F.shiftleft("f", 32).bitwiseOR(F.col("h").cast("bigint").bitwiseAND(F.lit(2**32 - 1))).alias("h")))
     rare = shared.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("h"))).withColumn("m", F.count("*").over(W.partitionBy("i"))).join(ids.select("i", "n"), "i")
     rare = put(rare.filter(F.col("r") <= F.col("m") - F.ceil(F.col("n") * similar - 1e-9) + 1).select("h", "i"))
-    member = put(shared.join(rare.select("h").distinct(), "h", "left_semi").select("h", "i"))
+    # few shingles are rare, and few classes are in a pair: the tables with all of them are sifted by these before they are shuffled
+    # an inner join, as a semi-join would be planned before the sift
+    member = put(sift(shared, "h", rare.select("h")).join(rare.select("h").distinct(), "h").select("h", "i"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        got = pairs.join(sets, "i").join(sets.select(F.col("i").alias("j"), F.col("shingles").alias("other")), "j")
+        pairs = put(pairs)
+        mine, theirs = sift(sets, "i", pairs.select("i")), sift(sets, "i", pairs.select("j"))
+        got = pairs.join(mine, "i").join(theirs.select(F.col("i").alias("j"), F.col("shingles").alias("other")), "j")
         both = F.size(F.array_intersect("shingles", "other"))
         return put(got.filter(both / F.least(F.size("shingles"), F.size("other")) >= similar).select("i", "j"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -60,6 +61,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
 
 
+#: Most bits of a sift, in words of 64: what is broadcast stays under 2^19 rows of two numbers, whatever the number of keys.
+SIFT_BITS = 2**25
+
+
+def sift(df: DataFrame, column: str, keys: DataFrame, bits: int = SIFT_BITS) -> DataFrame:
+    """df without most of the rows whose column isn't among keys (of one column), before a join with these; it isn't shuffled for that.
+
+    A row whose key is there always stays. Keys that share a bit with one that is there stay too, more of them the more keys there are.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word, bit = (lambda c: F.shiftright(at(c), 6)), (lambda c: at(c).bitwiseAND(F.lit(63)).cast("int"))
+    key = keys.columns[0]
+    words = keys.groupBy(word(key).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit(key))).alias("_bits"))
+    return df.withColumn("_word", word(column)).join(F.broadcast(words), "_word").filter(F.getbit("_bits", bit(column)) == 1).drop("_word", "_bits")
+
+
 def require(df: DataFrame, *columns: str) -> None:
     """One error that names every missing column."""
     if missing := [c for c in columns if c not in df.columns]:

@@ -340,3 +340,41 @@ def test_conversations_are_dealt_by_a_shuffle_of_their_own_after_a_join(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "REPARTITION_BY_COL" in plan
+
+
+def test_sift_keeps_every_key_and_little_else(spark):
+    from siltworks.runtime import sift
+
+    df = spark.range(20_000).withColumn("x", F.when(F.col("id") % 100 > 0, F.col("id") * 7919)).withColumn("text", F.lit("t"))
+    keys = df.filter("id % 500 = 3").select(F.col("x").alias("k"))
+    want = {x.k for x in keys.collect()}
+    for bits, most in ((2**25, 45), (2**12, 1000), (64, 20_000)):
+        got = sift(df, "x", keys, bits)
+        assert got.columns == df.columns
+        xs = [x.x for x in got.collect()]
+        assert want <= set(xs) and len(xs) == len(set(xs)) <= most
+    assert sift(df, "x", keys.limit(0)).count() == 0
+    assert sift(df.select("id", F.md5(F.col("id").cast("string")).alias("s")), "s", df.filter("id < 5").select(F.md5(F.col("id").cast("string")))).count() == 5
+
+
+def test_links_shuffle_the_sets_of_few_classes(spark):
+    r = np.random.default_rng(6)
+    pool = r.integers(-(2**31), 2**31, 20_000)
+    sets = [set(r.choice(pool, 180).tolist()) | set(r.integers(-(2**31), 2**31, 120).tolist()) for _ in range(1500)]
+    for k in range(10):  # copies with a tenth changed
+        own = sorted(sets[k])
+        sets.append(set(own[len(own) // 10 :]) | set(r.integers(-(2**31), 2**31, len(own) // 10).tolist()))
+    files = spark.createDataFrame([(f"f{k}", f"c{k:05}", sorted(s)) for k, s in enumerate(sets)], "id string, cls string, shingles array<int>")
+    written = lambda: (lambda e: sum(e.apply(k).totalShuffleWrite() for k in range(e.size())))(spark.sparkContext._jsc.sc().statusStore().executorList(False))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        before = written()
+        got = handwritten.links(files.select("cls", F.col("id").alias("rep")), files, "id")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        per = (written() - before) / sum(map(len, sets))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert {tuple(sorted(x)) for x in got.collect()} == {(f"c{k:05}", f"c{1500 + k:05}") for k in range(10)}
+    assert per < 26  # bytes a shingle; with all sets shuffled for each check it was 39
